@@ -1,0 +1,219 @@
+"""Random queries against SQL, lowering rules, batches, formats and helpers."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from oracle import assert_same, connect
+from quillon.functions import bits
+from quillon.functions.fmt import checksum_line, format_row, wrapping_sum
+from quillon.operators import radix
+from quillon.operators.stats import ColumnStats, analyze_table, collect_stats, column_stats
+from quillon.plans import order as ordering
+from quillon.plans.batch import Engine, batches
+from quillon.plans.dsl import ColumnRef, Filter, parse
+from quillon.plans.lower import DisconnectedQuery, query
+from quillon.queries import _oracle
+from quillon.sources import binary, tbl
+from quillon.sources.catalog import STAR, Catalog, star_catalog
+from quillon.streaming.workload import answer_workloads
+
+#: Joinable (relation, column) pairs of the star schema.
+LINKS = [((6, 0), (5, 0)), ((5, 1), (2, 0)), ((6, 1), (4, 0)), ((6, 2), (3, 0)), ((2, 1), (1, 0)), ((3, 1), (1, 0)), ((1, 1), (0, 0)), ((7, 1), (2, 0)), ((2, 1), (3, 1))]
+
+
+def random_line(rng):
+    relations, joins = [rng.choice((6, 5, 2, 7))], []
+    for _ in range(rng.randint(0, 3)):
+        options = [(a, l, r) for a, rel in enumerate(relations) for x, y in LINKS for l, r in ((x, y), (y, x)) if l[0] == rel]
+        alias, left, right = rng.choice(options)
+        relations.append(right[0])
+        joins.append(f"{alias}.{left[1]}={len(relations) - 1}.{right[1]}")
+    filters = []
+    for _ in range(rng.randint(0, 2)):
+        a = rng.randrange(len(relations))
+        filters.append(f"{a}.{rng.randrange(len(STAR[relations[a]][1]))}{rng.choice('<>=')}{rng.choice((1, 3, 20, 60))}")
+    preds = joins + filters
+    rng.shuffle(preds)
+    projections = [f"{(a := rng.randrange(len(relations)))}.{rng.randrange(len(STAR[relations[a]][1]))}" for _ in range(rng.randint(1, 3))]
+    return f"{' '.join(map(str, relations))}|{'&'.join(preds)}|{' '.join(projections)}"
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_random_queries(spark, sf, seed):
+    line = random_line(random.Random(seed))
+    assert_same(query(star_catalog(spark, sf), line), connect(sf), _oracle(parse(line)))
+    if parse(line).joins:
+        assert_same(Engine(star_catalog(spark, sf), "greedy").query(line), connect(sf), _oracle(parse(line)))
+
+
+def small(spark, **tables):
+    c = Catalog(spark)
+    for name, rows in tables.items():
+        c.register(name, spark.createDataFrame(rows, ", ".join(f"a{i} long" for i in range(len(rows[0])))))
+    return c
+
+
+def test_disjoint_components_joined_last(spark):
+    c = small(spark, a=[(1, 2), (1, 3)], b=[(1, 7)], c=[(5, 7), (5, 8)], d=[(5, 9), (5, 9)])
+    assert tuple(query(c, "0 1 2 3|0.0=1.0&2.0=3.0&1.1=2.1|0.1 3.1").first()) == (10, 36)
+
+
+def test_disconnected(spark):
+    c = small(spark, a=[(1,), (2,)], b=[(10,), (20,)])
+    with pytest.raises(DisconnectedQuery):
+        query(c, "0 1||0.0")
+    assert tuple(query(c, "0 1||0.0 1.0", allow_cross=True).first()) == (6, 60)
+
+
+def test_u32_compatibility(spark):
+    c = small(spark, a=[(2**32 + 5,), (5,)], b=[(5,)])
+    assert query(c, "0 1|0.0=1.0|0.0").first()[0] == 5
+    assert query(c, "0 1|0.0=1.0|0.0", compat_u32=True).first()[0] == 2**32 + 10
+
+
+def test_wrap(spark):
+    df = spark.createDataFrame([(2**63 - 1,)] * 3, "v long")
+    assert df.agg(wrapping_sum(F.col("v"))).first()[0] == 3 * (2**63 - 1) % 2**64
+    c = small(spark, a=[(2**63 - 1,), (2**63 - 1,), (7,)])
+    assert query(c, "0||0.0", wrap_u64=True).first()[0] == (2 * (2**63 - 1) + 7) % 2**64
+
+
+def test_format(spark):
+    df = spark.createDataFrame([(0, None, 12)], "s0 long, s1 long, s2 long")
+    assert df.select(checksum_line(df)).first()[0] == "NULL NULL 12" == format_row((0, None, 12))
+
+
+def test_batches(spark, sf):
+    lines = ["6|0.2>50|0.1\n", "6|0.2<50|0.1\r\n", "F\n", "\n", "2|0.0=0|0.0"]
+    assert [len(b) for b in batches(lines)] == [2, 1]
+    one = [format_row(query(star_catalog(spark, sf), x).first()) for x in lines if x[0] not in "F\n"]
+    assert list(Engine(star_catalog(spark, sf), "simple").run(lines)) == one
+    assert one[-1] == "NULL"
+
+
+def test_stream_of_workloads(spark, sf, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.work").write_text("6|0.2>50|0.1\nF\n2|0.0=0|0.0\n")
+    engine = Engine(star_catalog(spark, sf))
+    answer_workloads(spark, engine, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    rows = spark.read.parquet(str(tmp_path / "out")).orderBy("query_no").collect()
+    assert [(r.workload, r.query_no, r.checksums) for r in rows] == [("a.work", 1, engine.answer("6|0.2>50|0.1")), ("a.work", 2, "NULL")]
+
+
+def test_binary_round_trip(spark, tmp_path):
+    a, b = np.arange(1000, dtype=np.uint64) * 7, np.arange(1000, dtype=np.uint64) % 13
+    binary.write(f"{tmp_path}/r", [a, b])
+    df = binary.read(spark, f"{tmp_path}/r", rows_per_partition=300)
+    assert df.rdd.getNumPartitions() == 4
+    assert sorted(map(tuple, df.collect())) == sorted(zip(a.tolist(), b.tolist(), strict=True))
+    df.write.parquet(f"{tmp_path}/p")
+    assert binary.write_frame(spark.read.parquet(f"{tmp_path}/p"), f"{tmp_path}/again") == 1000
+    assert sorted(map(tuple, binary.read(spark, f"{tmp_path}/again").collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_binary_edges(spark, tmp_path):
+    binary.write(f"{tmp_path}/none", [np.array([]), np.array([])])
+    assert binary.read(spark, f"{tmp_path}/none").collect() == []
+    binary.write(f"{tmp_path}/big", [np.array([2**64 - 1], np.uint64)])
+    assert int(binary.read(spark, f"{tmp_path}/big", decimal=True).first()[0]) == 2**64 - 1
+    with pytest.raises(Exception, match="18446744073709551615"):
+        binary.read(spark, f"{tmp_path}/big").collect()
+    (tmp_path / "short").write_bytes(b"123")
+    with pytest.raises(ValueError):
+        binary.header(f"{tmp_path}/short")
+
+
+def test_tbl_and_catalog(spark, tmp_path):
+    (tmp_path / "r0.tbl").write_text("1|2|3|\n4|5|6|\n")
+    c = Catalog(spark)
+    assert c.tbl("r0", f"{tmp_path}/r0.tbl", 3) == 0
+    assert tuple(query(c, "0||0.2").first()) == (9,)
+    tbl.write(c[0], f"{tmp_path}/out")
+    assert sorted(x for p in (tmp_path / "out").glob("part*") for x in p.read_text().split()) == ["1|2|3|", "4|5|6|"]
+    assert tbl.ddl("r0", 2).startswith("CREATE TABLE r0 (c0 bigint,c1 bigint)")
+    binary.write(f"{tmp_path}/b", [np.array([5, 6])])
+    assert c.load_init(["b\n", "Done\n", "x\n"], str(tmp_path)) == [1]
+    c.create_views()
+    assert spark.sql("SELECT sum(c0) FROM b").first()[0] == 11
+    with pytest.raises(KeyError):
+        c[2]
+    with pytest.raises(ValueError):
+        c.tbl("r0", f"{tmp_path}/r0.tbl", 3)
+
+
+def plain_ranhash(v):
+    m = 2**64 - 1
+    h = (v * bits.HASH_MULTIPLIER_1 + bits.HASH_INCREMENT) & m
+    for shift in (21, -37, 4):
+        h ^= h >> shift if shift > 0 else h << -shift & m
+    h = h * bits.HASH_MULTIPLIER_2 & m
+    for shift in (-20, 41, -5):
+        h ^= h >> shift if shift > 0 else h << -shift & m
+    return h
+
+
+def test_ranhash(spark):
+    values = [0, 4, 36, 552, 1028, 2**40 + 17, 2**63 - 1]
+    got = dict(spark.createDataFrame([(v,) for v in values], "v long").select("v", bits.ranhash(F.col("v"))).collect())
+    assert {v: h % 2**64 for v, h in got.items()} == {v: plain_ranhash(v) for v in values}
+    assert [got[v] % n for v, n in ((4, 16), (0, 16), (1028, 16), (36, 8), (552, 2))] == [11, 3, 15, 4, 1]
+
+
+def test_pow2(spark):
+    df = spark.createDataFrame([(v,) for v in [*range(70), 1023, 1024, 1025, 2**25 - 1]], "v long")
+    assert all(p == (1 if v <= 1 else 2 ** (v - 1).bit_length()) for v, p in df.select("v", bits.pow2_at_least(F.col("v"))).collect())
+    assert [tuple(r) for r in df.filter("v = 13").select(bits.nth_bit(F.col("v"), 2), bits.low_bits(F.col("v"), 3), bits.pow2(F.lit(5))).collect()] == [(1, 5, 32)]
+
+
+def test_radix(spark):
+    df = spark.range(1000).select((F.col("id") * 37).alias("v"), "id")
+    parts = radix.clustered(df, "v", 4, 3).select("bucket", F.spark_partition_id()).collect()
+    assert len({b: p for b, p in parts}) == 16
+    assert len(set(parts)) == 16
+    index = {r.value: r.ids for r in radix.value_index(spark.createDataFrame([(7, i) for i in range(10)] + [(8, 1)], "v long, i long"), "v", "i").collect()}
+    assert index == {7: list(range(10)), 8: [1]}
+    assert {r.value: r.n for r in radix.value_counts(df.select((F.col("v") % 2).alias("v")), "v").collect()} == {0: 500, 1: 500}
+
+
+def test_pair_join_complete(spark):
+    rng = random.Random(5)
+    r, s = ([(i, rng.randrange(20)) for i in range(n)] for n in (100, 80))
+    want = sorted((a, b) for a, x in r for b, y in s if x == y)
+    for hint in (None, "broadcast", "shuffle_hash", "merge"):
+        got = radix.pair_join(spark.createDataFrame(r, "a long, b long"), spark.createDataFrame(s, "c long, d long"), hint)
+        assert sorted(map(tuple, got.collect())) == want
+
+
+def test_stats(spark, sf):
+    df = spark.createDataFrame([(1,), (2,), (2,), (5,), (9,), (7,)], "c0 long")
+    assert collect_stats(df)["c0"] == ColumnStats(1, 9, 6, 5)
+    assert collect_stats(df, exact=False)["c0"].count == 6
+    assert column_stats(df.limit(0)).collect() == []
+    df.write.mode("overwrite").saveAsTable("quillon_stats_test")
+    analyze_table(spark, "quillon_stats_test")
+    spark.sql("DROP TABLE quillon_stats_test")
+
+
+def test_selectivity():
+    s = ColumnStats(0, 100, 1000, 50)
+    assert ordering.selectivity(s, "=", 5) == 1 / 50
+    assert ordering.selectivity(s, "=", 101) == 0
+    assert ordering.selectivity(s, "<", 25) == 0.25 == ordering.selectivity(s, ">", 75)
+    assert ordering.selectivity(s, "<", 500) == 1 and ordering.selectivity(s, ">", 500) == 0
+    got = ordering.apply_filter({ColumnRef(0, 0): s, ColumnRef(1, 0): s}, Filter(ColumnRef(0, 0), ">", 75))
+    assert got[ColumnRef(0, 0)].count == 250 and got[ColumnRef(1, 0)].count == 1000
+
+
+def test_policies():
+    spec = parse("0 1 2|0.0=1.0&1.1=2.0&2.1=3|0.0")
+    big, key, tiny = ColumnStats(0, 9999, 100000, 10000), ColumnStats(0, 9999, 10000, 10000), ColumnStats(0, 99, 100, 100)
+    stats = {ColumnRef(0, 0): big, ColumnRef(1, 0): key, ColumnRef(1, 1): ColumnStats(0, 99, 10000, 100), ColumnRef(2, 0): tiny, ColumnRef(2, 1): tiny}
+    assert ordering.needs_reorder(spec)
+    assert ordering.choose("simple", spec, stats) == ordering.choose("greedy", spec, stats) == (spec.joins[1], spec.joins[0])
+    assert ordering.choose("none", spec, stats) == spec.joins
+    with pytest.raises(ValueError):
+        ordering.choose("other", spec, stats)
+    assert not ordering.connected(parse("0 1 2 3|0.0=1.0&2.0=3.0|0.0").joins)
