@@ -11,9 +11,9 @@ size ratio of a linked pair, so that every pair meets in one of the two ways.
 Equal sets are collapsed first.  Candidates are then verified in rounds, for only
 components are wanted: all members of a key are compared with a few pivots of
 that key, what has been linked is one component, and keys inside one component
-are done.  When little is left, all pairs across components in the remaining keys
-are compared, so no link between components is missed, and a large group of near
-copies is settled by a number of comparisons that follows its size.  A pair is
+are done.  Then all pairs across components in the keys still open are compared, so
+no link between components is missed: keys with few members by a join, larger
+ones block against block inside tasks, which put out only what passes.  A pair is
 first held against an exact upper bound of the intersection (histograms of token
 hashes), then its sets are intersected.
 
@@ -47,8 +47,13 @@ MAX_FREQUENT = 1 << 18
 #: Largest smaller set of a pair that meets by combinations.
 COMBINE = 200
 PIVOTS = 4
-MAX_PIVOT_ROUNDS = 6
+PIVOT_ROUNDS = 2
+#: Buckets of a histogram, one byte each; all are full where a count does not fit.
 HISTOGRAM = 256
+FULL = b"\xff" * HISTOGRAM
+#: Members up to which a key's pairs are made by a join, and about as many make a block of a larger one.
+SMALL_KEY = 32
+BLOCK = 96
 
 _rng = np.random.Generator(np.random.PCG64(20240817))
 _BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -211,7 +216,8 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 s = shingle_set(text, n)
                 ids.append(doc)
                 sizes.append(len(s))
-                hists.append(np.bincount((s & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM).astype(np.uint32).tobytes())
+                counts = np.bincount((s & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM)
+                hists.append(FULL if counts.max() > 254 else counts.astype(np.uint8).tobytes())
                 sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), _binary(hists), _binary(sets)], ["doc", "n", "hist", "tokens"])
 
@@ -230,14 +236,15 @@ def _pass_pairs(pairs: DataFrame, test) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The candidate pairs ``(a, b)`` that link."""
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: int, more: DataFrame | None = None) -> DataFrame:
+    """The candidate pairs ``(a, b)`` that link; those in ``more`` have passed the bound."""
 
     def enough(shared: int, na: int, nb: int) -> bool:
         return 100 * shared >= threshold * (na + nb - shared)
 
     def bound(na, nb, xa, xb) -> bool:
-        return enough(int(np.minimum(np.frombuffer(xa, np.uint32), np.frombuffer(xb, np.uint32)).sum()), na, nb)
+        both = np.minimum(np.frombuffer(xa, np.uint8), np.frombuffer(xb, np.uint8))
+        return FULL in (xa, xb) or enough(int(both.sum(dtype=np.int64)), na, nb)
 
     def exact(na, nb, xa, xb) -> bool:
         both = np.concatenate([np.frombuffer(xa, np.uint64), np.frombuffer(xb, np.uint64)])
@@ -249,10 +256,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             p = p.join(sets.select(F.col("doc").alias(side), F.col("n").alias(f"n{side}"), F.col(column).alias(f"x{side}")), side)
         return p.select("a", "b", "na", "nb", "xa", "xb")
 
-    likely = table(_pass_pairs(beside(pairs, "hist"), bound).distinct(), "jac-likely")
+    likely = _pass_pairs(beside(pairs, "hist"), bound)
+    if more is not None:
+        likely = likely.unionByName(more)
+    likely = table(likely.distinct(), "jac-likely")
     return _pass_pairs(beside(likely, "tokens"), exact).distinct()
 
 
+def _block_pairs(live: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """``(a, b)`` across components that the bound lets through, of keys whose members come as ``(key, m, doc, n, comp)``."""
+    d = live.join(sets.select("doc", "hist"), "doc")
+    blocks = F.ceil(F.col("m") / BLOCK)
+    d = d.withColumn("i", F.pmod(F.xxhash64("doc", F.lit("block")), blocks))
+    d = d.groupBy("key", "i").agg(*(F.collect_list(c).alias(c) for c in ("doc", "n", "comp", "hist")))
+    d = table(d, "jac-blocks")
+    other = d.select("key", F.col("i").alias("j"), *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "comp", "hist")))
+    met = d.join(other, "key").where("i <= j")
+    order = [f"{c}{k}" for k in ("", "2") for c in ("doc", "n", "comp", "hist")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def side(columns):
+            doc, n, comp, hist = columns
+            return *(np.array(x.as_py(), np.int64) for x in (doc, n, comp)), np.frombuffer(b"".join(hist.as_py()), np.uint8).reshape(-1, HISTOGRAM)
+
+        for batch in batches:
+            out_a, out_b = [], []
+            for r in range(batch.num_rows):
+                row = [batch.column(c)[r] for c in order]
+                (d1, n1, c1, h1), (d2, n2, c2, h2) = side(row[:4]), side(row[4:])
+                # Pairs inside one block appear twice there; the result is made distinct anyway.
+                full1, full2 = (h1 == 255).all(1), (h2 == 255).all(1)
+                for x in range(len(d1)):
+                    near = (c1[x] != c2) & (100 * n2 >= threshold * n1[x]) & (100 * n1[x] >= threshold * n2)
+                    at = np.flatnonzero(near)
+                    if len(at):
+                        most = np.minimum(h1[x], h2[at]).sum(1, dtype=np.int64)
+                        ok = (100 * most >= threshold * (n1[x] + n2[at] - most)) | full1[x] | full2[at]
+                        y = d2[at[ok]]
+                        out_a.append(np.minimum(d1[x], y))
+                        out_b.append(np.maximum(d1[x], y))
+            cat = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([cat(out_a), cat(out_b)], ["a", "b"])
+
+    return met.select(*order).mapInArrow(run, "a long, b long")
+
+
 def links(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, n, c1, c2)`` of every row, and edges ``(a, b)`` whose components are those of the similarity graph."""
     spark = docs.sparkSession
@@ -287,22 +335,20 @@ def links(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[Data
     found: DataFrame | None = None
     tested: DataFrame | None = None
     fit = (F.col("n") * 100 >= F.col("pn") * threshold) & (F.col("pn") * 100 >= F.col("n") * threshold)
-    n_members = members.count()
-    for at in range(MAX_PIVOT_ROUNDS + 1):
+    for at in range(PIVOT_ROUNDS + 1):
         live = members.join(comp, "doc")
-        open_keys = live.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.sum(F.col("m") * F.col("m")).alias("mm"), F.count("*").alias("comps")).where("comps > 1")
-        open_keys = table(open_keys, "jac-open")
-        across = open_keys.agg(F.sum((F.col("m") * F.col("m") - F.col("mm")) / 2)).first()[0] or 0
-        if not across:
+        open_keys = live.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.count("*").alias("comps"))
+        open_keys = table(open_keys.where("comps > 1").select("key", "m"), "jac-open")
+        if open_keys.isEmpty():
             break
-        live = live.join(open_keys.select("key"), "key", "left_semi")
-        last = at == MAX_PIVOT_ROUNDS or across <= 2 * n_members
-        if last:
-            live = table(live.select("key", "doc", "n", "comp"), "jac-live")
-            other = live.select("key", F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-            pairs = live.join(other, "key").where("doc < p and comp <> pc").where(fit)
+        live = table(live.select("key", "doc", "n", "comp").join(open_keys, "key"), "jac-live")
+        more = None
+        if at == PIVOT_ROUNDS:
+            few = live.where(F.col("m") <= SMALL_KEY)
+            other = few.select("key", F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
+            pairs = few.join(other, "key").where("doc < p and comp <> pc").where(fit)
+            more = _block_pairs(live.where(F.col("m") > SMALL_KEY), sets, threshold)
         else:
-            live = table(live.select("key", "doc", "n", "comp"), "jac-live")
             order = [F.xxhash64("doc", F.lit(at), F.lit(i)) for i in range(PIVOTS)]
             pivots = live.groupBy("key").agg(*(F.min_by(c, o).alias(f"{c}{i}") for i, o in enumerate(order) for c in ("doc", "n", "comp")))
             pivots = table(pivots, "jac-pivots")
@@ -314,12 +360,11 @@ def links(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[Data
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = table(pairs, "jac-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = table(_verified(pairs, sets, threshold), "jac-links")
+        new = table(_verified(pairs, sets, threshold, more), "jac-links")
         found = new if found is None else found.unionByName(new)
-        if last:
-            break
-        cc = components(found, "jac-cc").select(F.col("node").alias("doc"), F.col("comp").alias("c"))
-        comp = table(ids.join(cc, "doc", "left").select("doc", F.coalesce("c", "doc").alias("comp")), "jac-comp")
+        if at < PIVOT_ROUNDS:
+            cc = components(found, "jac-cc").select(F.col("node").alias("doc"), F.col("comp").alias("c"))
+            comp = table(ids.join(cc, "doc", "left").select("doc", F.coalesce("c", "doc").alias("comp")), "jac-comp")
     return rows, copies if found is None else copies.unionByName(found)
 
 
