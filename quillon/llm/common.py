@@ -7,7 +7,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word characters in SQL: all but space and \t \n \v \f \r.
@@ -35,6 +35,11 @@ def table(df: DataFrame, like: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where body uses it inside lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors' Python workers, once a context."""
     context = spark.sparkContext

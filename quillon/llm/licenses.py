@@ -28,7 +28,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import columns_of, table
+from quillon.llm.common import columns_of, let, table
 
 NGRAM = 5
 THRESHOLD = 0.8
@@ -80,10 +80,14 @@ def anchor_words(text: str, threshold: float = THRESHOLD) -> list[str]:
 
 def shingles(text: Column) -> Column:
     """The text's shingles in order, repeats included."""
-    words = F.filter(F.split(F.lower(text), _SPLIT), lambda w: w != "")
-    n = F.size(words)
-    starts = F.when(n >= NGRAM, F.sequence(F.lit(1), n - NGRAM + 1))
-    return F.coalesce(F.transform(starts, lambda i: F.array_join(F.slice(words, i, NGRAM), " ")), F.array().cast("array<string>"))
+
+    def of(words: Column) -> Column:
+        n = F.size(words)
+        starts = F.when(n >= NGRAM, F.sequence(F.lit(1), n - NGRAM + 1))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, NGRAM), " "))
+
+    listed = let(F.filter(F.split(F.lower(text), _SPLIT), lambda w: w != ""), of)
+    return F.coalesce(listed, F.array().cast("array<string>"))
 
 
 def bands(hashes: Column) -> Column:

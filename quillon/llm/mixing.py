@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import columns_of, table
+from quillon.llm.common import columns_of, let, table
 
 BLOCK = 64
 WEIGHTS = (3, 1, 2)
@@ -194,9 +194,9 @@ def mixed_documents(docs: DataFrame, share: float = SHARE) -> DataFrame:
     met = rows.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_h") == F.col("th")) & F.col("source").eqNullSafe(F.col("s")))
     # A piece is a word and the white space after it; white space before the first word is no piece of its own.
     pieces = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
-    some = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(F.col("_pieces"), (r["a"] + 1).cast("int"), (r["b"] - r["a"]).cast("int")))), "")
+    cut = lambda ps: F.flatten(F.transform("ranges", lambda r: F.slice(ps, (r["a"] + 1).cast("int"), (r["b"] - r["a"]).cast("int"))))
     whole = F.col("n") == F.col("size")
-    out = met.withColumn("_pieces", F.when(~whole, pieces)).withColumn("text", F.when(whole, F.col("text")).otherwise(some))
+    out = met.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(let(pieces, cut), "")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
