@@ -34,7 +34,7 @@ from quillon.llm.common import columns_of, ship
 #: Pretokens: fixed pattern of this tokenizer family, with white space as Unicode defines it.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 #: Pretokens a worker remembers; beyond it the memory starts anew.
-CACHE = 600_000
+CACHE = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -108,7 +108,7 @@ class Bpe:
                 until, a = ra, self.split[a][1]
             else:
                 until, b = rb + 1, self.split[b][0]
-        if len(self.pairs) >= 4 * CACHE:
+        if len(self.pairs) > CACHE:
             self.pairs.clear()
         self.pairs[key] = ok
         return ok

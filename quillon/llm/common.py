@@ -40,9 +40,15 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+#: Rows sent to a Python worker at once, which bounds what it holds of whole texts.
+BATCH_ROWS = 1_000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once a context."""
+    """Sends this package to the executors' Python workers, once a context, and bounds their batches."""
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(context, "_quillon_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent

@@ -17,10 +17,10 @@ ones block against block inside tasks, which put out only what passes.  A pair i
 first held against an exact upper bound of the intersection (histograms of token
 hashes), then its sets are intersected.
 
-Frequent tokens: each task counts the tokens of its documents and reports those
-that reach a fixed share of them, so that no token of that share of all documents
-is missed; at most MAX_FREQUENT of them form the class.  What the class holds
-changes speed only, never results.
+Frequent tokens: each task counts the tokens of its documents, a bounded number at a
+time, and reports those that reach a share of them; the most frequent, at most
+MAX_FREQUENT, form the class.  What the class holds changes speed only, never
+results.
 
 Defined results: text that is null or without words has an empty set and links with
 nothing.  Rows that share a doc_id are one document; a null doc_id links with
@@ -144,7 +144,7 @@ def _binary(items: list[bytes]) -> pa.Array:
 
 
 #: Tokens a task gathers before it counts them.
-COUNT_AT = 2_000_000
+COUNT_AT = 1_000_000
 
 
 def _survey(docs: DataFrame, n: int) -> DataFrame:
