@@ -113,11 +113,14 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(np.array([one]).view(np.int64)[0]), int(np.array([two]).view(np.int64)[0])
 
 
-def prefix_keys(s: np.ndarray, frequent: np.ndarray, threshold: int, combine: int = COMBINE) -> np.ndarray:
-    """Index keys of a set; ``frequent`` holds the frequent tokens, sorted by value, with ranks beside: shape (2, m)."""
+def prefix_keys(s: np.ndarray, frequent: np.ndarray, threshold: int, combine: int = COMBINE) -> tuple[np.ndarray, bool]:
+    """Index keys of a set, and whether its prefix holds frequent tokens.
+
+    frequent: the frequent tokens, sorted by value, with ranks beside: shape (2, m).
+    """
     n = len(s)
     if n < 2:
-        return s[:0]  # only an equal set links with it
+        return s[:0], False  # only an equal set links with it
     need = -(-threshold * n // 100)
     if need < 2:
         need = 2
@@ -128,7 +131,7 @@ def prefix_keys(s: np.ndarray, frequent: np.ndarray, threshold: int, combine: in
     rare = s[~common][:size]
     often = s[common]
     if len(rare) == size or not len(often):
-        return rare
+        return rare, False
     often = often[np.argsort(frequent[1][at[common]], kind="stable")][: size - len(rare)]
     out = [rare]
     if n * threshold <= 100 * combine:  # also above combine, as far as a partner below it reaches
@@ -136,7 +139,7 @@ def prefix_keys(s: np.ndarray, frequent: np.ndarray, threshold: int, combine: in
         out.append(mix(often[i] * _PLACE[50] + often[j] * _PLACE[51]))
     if n > combine:
         out.append(often)
-    return np.concatenate(out)
+    return np.concatenate(out), True
 
 
 def _binary(items: list[bytes]) -> pa.Array:
@@ -192,20 +195,21 @@ def _keys(docs: DataFrame, n: int, threshold: int, frequent) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = frequent.value
         for batch in batches:
-            ids, sizes, keys = [], [], []
+            ids, sizes, mixed, keys = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, n)
-                found = prefix_keys(s, known, threshold)
+                found, often = prefix_keys(s, known, threshold)
                 if doc is not None and len(found):
                     ids.append(doc)
                     sizes.append(len(s))
+                    mixed.append(often)
                     keys.append(found.view(np.int64))
             ends = np.cumsum([0, *map(len, keys)])
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mixed, pa.bool_()), lists], ["doc_id", "n", "often", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, often boolean, keys array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -325,12 +329,10 @@ def links(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[Data
 
     keys = _keys(docs, n, threshold, frequent).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     keys = table(keys, "jac-keys")
-    each = keys.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"), "n")
+    each = keys.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"), "n", "often")
     shared = table(each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "jac-shared")
     members = table(each.join(shared, "key").distinct(), "jac-members")
     ids = table(members.select("doc").distinct(), "jac-ids")
-    sets = table(_sets(semi_join_large(docs, ids.select(F.col("doc").alias("doc_id")), "doc_id"), n), "jac-sets")
-
     comp = ids.select("doc", F.col("doc").alias("comp"))
     found: DataFrame | None = None
     tested: DataFrame | None = None
@@ -341,25 +343,37 @@ def links(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[Data
         open_keys = table(open_keys.where("comps > 1").select("key", "m"), "jac-open")
         if open_keys.isEmpty():
             break
-        live = table(live.select("key", "doc", "n", "comp").join(open_keys, "key"), "jac-live")
-        more = None
+        live = table(live.select("key", "doc", "n", "often", "comp").join(open_keys, "key"), "jac-live")
+        large = None
         if at == PIVOT_ROUNDS:
-            few = live.where(F.col("m") <= SMALL_KEY)
-            other = few.select("key", F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
+            # A second shared token may also lie in a large key, which counts like a frequent one here.
+            large = live.where(F.col("m") > SMALL_KEY)
+            in_large = table(large.select("doc").distinct(), "jac-large")
+            few = live.where(F.col("m") <= SMALL_KEY).join(in_large.withColumn("large", F.lit(True)), "doc", "left")
+            few = few.select("key", "doc", "n", "comp", (F.col("often") | F.col("large").isNotNull()).alias("often"))
+            few = table(few, "jac-few")
+            other = few.select("key", F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("often").alias("po"), F.col("comp").alias("pc"))
             pairs = few.join(other, "key").where("doc < p and comp <> pc").where(fit)
-            more = _block_pairs(live.where(F.col("m") > SMALL_KEY), sets, threshold)
         else:
             order = [F.xxhash64("doc", F.lit(at), F.lit(i)) for i in range(PIVOTS)]
-            pivots = live.groupBy("key").agg(*(F.min_by(c, o).alias(f"{c}{i}") for i, o in enumerate(order) for c in ("doc", "n", "comp")))
+            pivots = live.groupBy("key").agg(*(F.min_by(c, o).alias(f"{c}{i}") for i, o in enumerate(order) for c in ("doc", "n", "often", "comp")))
             pivots = table(pivots, "jac-pivots")
-            pick = F.explode(F.array(*(F.struct(F.col(f"doc{i}").alias("p"), F.col(f"n{i}").alias("pn"), F.col(f"comp{i}").alias("pc")) for i in range(PIVOTS))))
+            pick = F.explode(F.array(*(F.struct(F.col(f"doc{i}").alias("p"), F.col(f"n{i}").alias("pn"), F.col(f"often{i}").alias("po"), F.col(f"comp{i}").alias("pc")) for i in range(PIVOTS))))
             # Members meet the pivots of their key: at most PIVOTS rows a member.
-            pairs = live.join(pivots, "key").select("doc", "n", "comp", pick.alias("x")).select("doc", "n", "comp", "x.*").where("doc <> p and comp <> pc").where(fit)
-        pairs = pairs.select(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b")).distinct()
+            met = live.select("key", "doc", "n", "often", "comp").join(pivots, "key").select("key", "doc", "n", "often", "comp", pick.alias("x"))
+            pairs = met.select("key", "doc", "n", "often", "comp", "x.*").where("doc <> p and comp <> pc").where(fit).distinct()
+        # Linked sets share two tokens of their prefixes: two keys, or one and a frequent token each.
+        pairs = pairs.groupBy(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b")).agg(F.count("*").alias("keys"), F.max(F.col("often") & F.col("po")).alias("both"))
+        pairs = pairs.where("keys > 1 or both").select("a", "b")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = table(pairs, "jac-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+        wanted = wanted if large is None else wanted.unionByName(in_large.select(F.col("doc").alias("doc_id")))
+        wanted = table(wanted.distinct(), "jac-wanted")
+        sets = table(_sets(semi_join_large(docs, wanted, "doc_id"), n), "jac-sets")
+        more = None if large is None else _block_pairs(large, sets, threshold)
         new = table(_verified(pairs, sets, threshold, more), "jac-links")
         found = new if found is None else found.unionByName(new)
         if at < PIVOT_ROUNDS:
