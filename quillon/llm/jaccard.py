@@ -1,13 +1,16 @@
 """Similarity join of word n-gram sets by token-combination prefixes.
 
 Sets link when ``100 * |x & y| >= threshold * |x | y|``.  Tokens (hashed n-grams) have
-one global order, rare before frequent.  A linked pair shares at least two tokens
-in both sets' prefixes of ``n - ceil(threshold * n / 100) + 2`` tokens.  So a set is
-indexed under every rare token of its prefix, and under every two-token
+one global order, rare before frequent.  Prefixes are extended: of a set of n tokens
+``n - ceil(threshold * n / 100) + extent(n)`` are taken, so that a linked pair shares
+at least the smaller extent, which is 2 or more, in both.  A set is indexed under every rare token of its prefix, and under every two-token
 combination of the frequent ones.  Sets of more than COMBINE tokens, whose
 prefixes are long, use single frequent tokens instead; the classes overlap by the
 size ratio of a linked pair, so that every pair meets in one of the two ways.
 
+Sets that share fewer of their index keys with any other set than a partner would need
+cannot link and go before pairs are made, and so do pairs that share too few.
+
 Equal sets are collapsed first.  Candidates are then verified in rounds, for only
 components are wanted: all members of a key are compared with a few pivots of
 that key, what has been linked is one component, and keys inside one component
@@ -33,10 +36,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import columns_of, components, semi_join_large, ship, table
+from quillon.llm.common import columns_of, components, forget, semi_join_large, ship, table
 
 N = 4
 THRESHOLD = 85
@@ -47,6 +50,7 @@ MAX_FREQUENT = 1 << 18
 #: Largest smaller set of a pair that meets by combinations.
 COMBINE = 200
 PIVOTS = 4
+PEELS = 2
 PIVOT_ROUNDS = 2
 #: Buckets of a histogram, one byte each; all are full where a count does not fit.
 HISTOGRAM = 256
@@ -113,25 +117,32 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(np.array([one]).view(np.int64)[0]), int(np.array([two]).view(np.int64)[0])
 
 
-def prefix_keys(s: np.ndarray, frequent: np.ndarray, threshold: int, combine: int = COMBINE) -> tuple[np.ndarray, bool]:
-    """Index keys of a set, and whether its prefix holds frequent tokens.
+#: One more shared token is asked of a pair for so many tokens of its sets.
+EXTENT_STEP = 50
+
+
+def extent(n):
+    """Shared prefix tokens asked of a pair whose smaller set has n tokens (an int or a column)."""
+    return 2 + (F.floor(n / EXTENT_STEP) if isinstance(n, Column) else n // EXTENT_STEP)
+
+
+def prefix_keys(s: np.ndarray, frequent: np.ndarray, threshold: int, combine: int = COMBINE) -> tuple[np.ndarray, int]:
+    """Index keys of a set, and the number of frequent tokens in its prefix.
 
     frequent: the frequent tokens, sorted by value, with ranks beside: shape (2, m).
     """
     n = len(s)
     if n < 2:
-        return s[:0], False  # only an equal set links with it
-    need = -(-threshold * n // 100)
-    if need < 2:
-        need = 2
-    size = min(n, n - need + 2)
+        return s[:0], 0  # only an equal set links with it
+    need = max(-(-threshold * n // 100), 2)
+    size = min(n, n - need + extent(n))
     at = np.searchsorted(frequent[0], s)
     at[at == frequent.shape[1]] = 0
     common = frequent[0][at] == s if frequent.shape[1] else np.zeros(n, bool)
     rare = s[~common][:size]
     often = s[common]
     if len(rare) == size or not len(often):
-        return rare, False
+        return rare, 0
     often = often[np.argsort(frequent[1][at[common]], kind="stable")][: size - len(rare)]
     out = [rare]
     if n * threshold <= 100 * combine:  # also above combine, as far as a partner below it reaches
@@ -139,7 +150,7 @@ def prefix_keys(s: np.ndarray, frequent: np.ndarray, threshold: int, combine: in
         out.append(mix(often[i] * _PLACE[50] + often[j] * _PLACE[51]))
     if n > combine:
         out.append(often)
-    return np.concatenate(out), True
+    return np.concatenate(out), len(often)
 
 
 def _binary(items: list[bytes]) -> pa.Array:
@@ -207,9 +218,9 @@ def _keys(docs: DataFrame, n: int, threshold: int, frequent) -> DataFrame:
             ends = np.cumsum([0, *map(len, keys)])
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mixed, pa.bool_()), lists], ["doc_id", "n", "often", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mixed, pa.int64()), lists], ["doc_id", "n", "often", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, often boolean, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n long, often long, keys array<long>")
 
 
 def _sets(docs: DataFrame, n: int) -> DataFrame:
@@ -331,7 +342,18 @@ def links(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[Data
     keys = table(keys, "jac-keys")
     each = keys.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"), "n", "often")
     shared = table(each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "jac-shared")
-    members = table(each.join(shared, "key").distinct(), "jac-members")
+    members = table(each.join(shared, "key"), "jac-members")
+    forget(keys, shared)
+    # A linked set shares as many keys as its smallest possible partner asks for, frequent tokens aside.
+    asked = extent(F.ceil(F.col("n") * threshold / 100))
+    for _ in range(PEELS):
+        able = members.groupBy("doc", "n", "often").agg(F.count("*").alias("keys")).where(F.col("keys") + F.col("often") >= asked)
+        able = table(able.select("doc"), "jac-able")
+        left = table(members.join(able, "doc", "left_semi"), "jac-left")
+        still = table(left.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "jac-still")
+        forget(members, able)
+        members = table(left.join(still, "key", "left_semi"), "jac-members")
+        forget(left, still)
     ids = table(members.select("doc").distinct(), "jac-ids")
     comp = ids.select("doc", F.col("doc").alias("comp"))
     found: DataFrame | None = None
@@ -346,11 +368,11 @@ def links(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[Data
         live = table(live.select("key", "doc", "n", "often", "comp").join(open_keys, "key"), "jac-live")
         large = None
         if at == PIVOT_ROUNDS:
-            # A second shared token may also lie in a large key, which counts like a frequent one here.
+            # Shared tokens may also lie in large keys, which count like frequent ones here.
             large = live.where(F.col("m") > SMALL_KEY)
-            in_large = table(large.select("doc").distinct(), "jac-large")
-            few = live.where(F.col("m") <= SMALL_KEY).join(in_large.withColumn("large", F.lit(True)), "doc", "left")
-            few = few.select("key", "doc", "n", "comp", (F.col("often") | F.col("large").isNotNull()).alias("often"))
+            in_large = table(large.groupBy("doc").agg(F.count("*").alias("large")), "jac-large")
+            few = live.where(F.col("m") <= SMALL_KEY).join(in_large, "doc", "left")
+            few = few.select("key", "doc", "n", "comp", (F.col("often") + F.coalesce("large", F.lit(0))).alias("often"))
             few = table(few, "jac-few")
             other = few.select("key", F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("often").alias("po"), F.col("comp").alias("pc"))
             pairs = few.join(other, "key").where("doc < p and comp <> pc").where(fit)
@@ -362,9 +384,10 @@ def links(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[Data
             # Members meet the pivots of their key: at most PIVOTS rows a member.
             met = live.select("key", "doc", "n", "often", "comp").join(pivots, "key").select("key", "doc", "n", "often", "comp", pick.alias("x"))
             pairs = met.select("key", "doc", "n", "often", "comp", "x.*").where("doc <> p and comp <> pc").where(fit).distinct()
-        # Linked sets share two tokens of their prefixes: two keys, or one and a frequent token each.
-        pairs = pairs.groupBy(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b")).agg(F.count("*").alias("keys"), F.max(F.col("often") & F.col("po")).alias("both"))
-        pairs = pairs.where("keys > 1 or both").select("a", "b")
+        # Pairs met under too few keys cannot link; pivots leave keys out, so that little is asked of theirs.
+        enough = extent(F.least("n", "pn")) if large is not None else F.lit(2)
+        pairs = pairs.groupBy(F.least("doc", "p").alias("a"), F.greatest("doc", "p").alias("b")).agg(F.count("*").alias("keys"), F.max(F.least("often", "po")).alias("more"), F.max(enough).alias("enough"))
+        pairs = pairs.where("keys + more >= enough").select("a", "b")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = table(pairs, "jac-pairs")
@@ -377,6 +400,7 @@ def links(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[Data
         new = table(_verified(pairs, sets, threshold, more), "jac-links")
         found = new if found is None else found.unionByName(new)
         if at < PIVOT_ROUNDS:
+            forget(live, open_keys, wanted, sets)
             cc = components(found, "jac-cc").select(F.col("node").alias("doc"), F.col("comp").alias("c"))
             comp = table(ids.join(cc, "doc", "left").select("doc", F.coalesce("c", "doc").alias("comp")), "jac-comp")
     return rows, copies if found is None else copies.unionByName(found)
