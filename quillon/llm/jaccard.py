@@ -280,36 +280,51 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int, more: DataFrame
 
 def _block_pairs(live: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """``(a, b)`` across components that the bound lets through, of keys whose members come as ``(key, m, doc, n, comp)``."""
-    d = live.join(sets.select("doc", "hist"), "doc")
+    lists = table(live.groupBy("doc").agg(F.sort_array(F.collect_set("key")).alias("keys")), "jac-lists")
+    d = live.join(sets.select("doc", "hist"), "doc").join(lists, "doc")
     blocks = F.ceil(F.col("m") / BLOCK)
     d = d.withColumn("i", F.pmod(F.xxhash64("doc", F.lit("block")), blocks))
-    d = d.groupBy("key", "i").agg(*(F.collect_list(c).alias(c) for c in ("doc", "n", "comp", "hist")))
+    columns = ("doc", "n", "comp", "hist", "keys")
+    d = d.groupBy("key", "i").agg(*(F.collect_list(c).alias(c) for c in columns))
     d = table(d, "jac-blocks")
-    other = d.select("key", F.col("i").alias("j"), *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "comp", "hist")))
+    other = d.select("key", F.col("i").alias("j"), *(F.col(c).alias(f"{c}2") for c in columns))
     met = d.join(other, "key").where("i <= j")
-    order = [f"{c}{k}" for k in ("", "2") for c in ("doc", "n", "comp", "hist")]
+    order = ["key", "i", "j", *(f"{c}{k}" for k in ("", "2") for c in columns)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def side(columns):
-            doc, n, comp, hist = columns
-            return *(np.array(x.as_py(), np.int64) for x in (doc, n, comp)), np.frombuffer(b"".join(hist.as_py()), np.uint8).reshape(-1, HISTOGRAM)
+        def side(values, key):
+            doc, n, comp, hist, keys = (x.as_py() for x in values)
+            lesser: dict[int, list[int]] = {}
+            for x, ks in enumerate(keys):
+                for k in ks:
+                    if k >= key:
+                        break
+                    lesser.setdefault(k, []).append(x)
+            return *(np.array(x, np.int64) for x in (doc, n, comp)), np.frombuffer(b"".join(hist), np.uint8).reshape(-1, HISTOGRAM), lesser
 
         for batch in batches:
             out_a, out_b = [], []
             for r in range(batch.num_rows):
-                row = [batch.column(c)[r] for c in order]
-                (d1, n1, c1, h1), (d2, n2, c2, h2) = side(row[:4]), side(row[4:])
-                # Pairs inside one block appear twice there; the result is made distinct anyway.
+                key, i, j = (batch.column(c)[r].as_py() for c in range(3))
+                row = [batch.column(c)[r] for c in range(3, len(order))]
+                half = len(columns)
+                d1, n1, c1, h1, k1 = side(row[:half], key)
+                d2, n2, c2, h2, k2 = side(row[half:], key)
+                a, b = n1[:, None], n2[None, :]
+                near = (c1[:, None] != c2[None, :]) & (100 * b >= threshold * a) & (100 * a >= threshold * b)
+                if i == j:
+                    near &= d1[:, None] < d2[None, :]
+                # A pair that shares a lesser key as well is compared there.
+                for k in k1.keys() & k2.keys():
+                    near[np.ix_(k1[k], k2[k])] = False
                 full1, full2 = (h1 == 255).all(1), (h2 == 255).all(1)
-                for x in range(len(d1)):
-                    near = (c1[x] != c2) & (100 * n2 >= threshold * n1[x]) & (100 * n1[x] >= threshold * n2)
-                    at = np.flatnonzero(near)
-                    if len(at):
-                        most = np.minimum(h1[x], h2[at]).sum(1, dtype=np.int64)
-                        ok = (100 * most >= threshold * (n1[x] + n2[at] - most)) | full1[x] | full2[at]
-                        y = d2[at[ok]]
-                        out_a.append(np.minimum(d1[x], y))
-                        out_b.append(np.maximum(d1[x], y))
+                for x in np.flatnonzero(near.any(1)):
+                    at = np.flatnonzero(near[x])
+                    most = np.minimum(h1[x], h2[at]).sum(1, dtype=np.int64)
+                    ok = (100 * most >= threshold * (n1[x] + n2[at] - most)) | full1[x] | full2[at]
+                    y = d2[at[ok]]
+                    out_a.append(np.minimum(d1[x], y))
+                    out_b.append(np.maximum(d1[x], y))
             cat = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([cat(out_a), cat(out_b)], ["a", "b"])
 
