@@ -293,14 +293,18 @@ def _block_pairs(live: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def side(values, key):
-            doc, n, comp, hist, keys = (x.as_py() for x in values)
-            lesser: dict[int, list[int]] = {}
-            for x, ks in enumerate(keys):
-                for k in ks:
-                    if k >= key:
-                        break
-                    lesser.setdefault(k, []).append(x)
-            return *(np.array(x, np.int64) for x in (doc, n, comp)), np.frombuffer(b"".join(hist), np.uint8).reshape(-1, HISTOGRAM), lesser
+            doc, n, comp, hist, keys = (x.values for x in values)
+            owner, flat = np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy()), keys.flatten().to_numpy()
+            least = flat < key
+            return *(x.to_numpy() for x in (doc, n, comp)), np.frombuffer(b"".join(hist.to_pylist()), np.uint8).reshape(-1, HISTOGRAM), owner[least], flat[least]
+
+        def holds(owner, flat, keys, rows):
+            out = np.zeros((rows, len(keys)), np.float32)
+            at = np.searchsorted(keys, flat)
+            at[at == len(keys)] = 0
+            there = keys[at] == flat
+            out[owner[there], at[there]] = 1
+            return out
 
         for batch in batches:
             out_a, out_b = [], []
@@ -308,15 +312,15 @@ def _block_pairs(live: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 key, i, j = (batch.column(c)[r].as_py() for c in range(3))
                 row = [batch.column(c)[r] for c in range(3, len(order))]
                 half = len(columns)
-                d1, n1, c1, h1, k1 = side(row[:half], key)
-                d2, n2, c2, h2, k2 = side(row[half:], key)
+                d1, n1, c1, h1, o1, k1 = side(row[:half], key)
+                d2, n2, c2, h2, o2, k2 = side(row[half:], key)
                 a, b = n1[:, None], n2[None, :]
                 near = (c1[:, None] != c2[None, :]) & (100 * b >= threshold * a) & (100 * a >= threshold * b)
                 if i == j:
                     near &= d1[:, None] < d2[None, :]
                 # A pair that shares a lesser key as well is compared there.
-                for k in k1.keys() & k2.keys():
-                    near[np.ix_(k1[k], k2[k])] = False
+                if near.any() and len(both := np.intersect1d(k1, k2)):
+                    near &= holds(o1, k1, both, len(d1)) @ holds(o2, k2, both, len(d2)).T == 0
                 full1, full2 = (h1 == 255).all(1), (h2 == 255).all(1)
                 for x in np.flatnonzero(near.any(1)):
                     at = np.flatnonzero(near[x])
