@@ -70,7 +70,7 @@ def anchor_words(text: str, threshold: float = THRESHOLD) -> list[str]:
     shingles = template_shingles(text)
     open_, chosen = set(shingles), []
     counts = Counter(w for s in shingles for w in set(s.split()))
-    while len(shingles) - len(open_) <= (1 - threshold) * len(shingles):
+    while len(open_) >= threshold * len(shingles):
         # Long words are rare; each is taken with all its shingles.
         word = max((w for w in counts if w not in chosen and any(w in s.split() for s in open_)), key=lambda w: (len(w) > 4, len(w), w))
         chosen.append(word)
