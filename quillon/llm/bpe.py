@@ -29,12 +29,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import columns_of, ship
+from quillon.llm.common import columns_of, release, ship
 
 #: Pretokens: fixed pattern of this tokenizer family, with white space as Unicode defines it.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 #: Pretokens a worker remembers; beyond it the memory starts anew.
-CACHE = 300_000
+CACHE = 100_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -232,6 +232,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
                 rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(back).hexdigest(), ids if with_ids else None))
             frame = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
             yield frame if with_ids else frame.drop(columns="ids")
+        bpe.known.clear()
+        bpe.pairs.clear()
+        release()
 
     made = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
     udf = F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

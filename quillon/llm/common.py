@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +76,16 @@ def ship(spark: SparkSession) -> None:
     context._quillon_shipped = True
 
 
+def release() -> None:
+    """Gives freed memory of a Python worker back to the system; workers outlive the tasks that filled them."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """The named columns under these very names, whatever else the input carries."""
     return df.select(*(F.col(f"`{n}`").alias(n) for n in names))

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import columns_of, components, forget, semi_join_large, ship, table
+from quillon.llm.common import columns_of, components, forget, release, semi_join_large, ship, table
 
 N = 4
 THRESHOLD = 85
@@ -198,6 +198,8 @@ def _survey(docs: DataFrame, n: int) -> DataFrame:
             yield rows(ids, sizes, ones, twos, none, none)
         if tokens:
             yield counted()
+        held.clear()
+        release()
 
     return docs.mapInArrow(run, "doc_id long, n long, c1 long, c2 long, token long, count long")
 

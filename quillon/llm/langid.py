@@ -27,12 +27,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import columns_of, ship
+from quillon.llm.common import columns_of, release, ship
 
 UND = "und"
 #: Bounds of the labelled sample the model is fitted on.
 SAMPLE_DOCS = 48  # documents a language
-SAMPLE_CHARS = 32_768  # characters a language, after normalisation
+SAMPLE_CHARS = 20_000  # characters a language, after normalisation
 SAMPLE_CHARS_DOC = 4_096  # characters of one document
 MAX_LANGS = 64
 MAX_LETTERS = 126
@@ -194,7 +194,7 @@ def training_samples(docs: DataFrame) -> dict[str, str]:
     return {k: v for k, v in joined.items() if v}
 
 
-BATCH_SYMBOLS = 4_000_000
+BATCH_SYMBOLS = 2_500_000
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -216,6 +216,7 @@ def identify(docs: DataFrame) -> DataFrame:
                     scores += found[1]
                     part, size = [], 0
             yield pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype="float64")})
+        release()
 
     udf = F.pandas_udf(run, "lang_pred string, score double")
     kept = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score", "_p")]
