@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -34,7 +35,7 @@ from quillon.llm.common import columns_of, release, ship
 #: Pretokens: fixed pattern of this tokenizer family, with white space as Unicode defines it.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 #: Pretokens a worker remembers; beyond it the memory starts anew.
-CACHE = 100_000
+CACHE = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -80,6 +81,7 @@ class Bpe:
         self.shorter = [-1] * size
         for t, i in by_text.items():
             self.shorter[i] = next((by_text[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in by_text), -1)
+        self.length = [len(t) for t in self.text]
         self.offsets = np.concatenate([[0], np.cumsum([len(t) for t in self.text])]).astype(np.int64)
         self.blob = np.frombuffer(b"".join(self.text), np.uint8)
         self.pretoken = regex.compile(PRETOKEN)
@@ -117,19 +119,24 @@ class Bpe:
         n = len(text)
         longest = [-1] * n
         width = [0] * n
-        for end, (length, token) in self.automaton.iter(text.decode("latin-1")):
-            start = end - length + 1
-            if length > width[start]:
-                width[start], longest[start] = length, token
+        for end, (size, token) in self.automaton.iter(text.decode("latin-1")):
+            start = end - size + 1
+            if size > width[start]:
+                width[start], longest[start] = size, token
         open_at = bytearray(b"\x01" * (n + 1))
         out: list[int] = []
+        length, shorter, pairs = self.length, self.shorter, self.pairs
         at, token = 0, longest[0] if n else -1
         while at < n:
             while token >= 0:
-                end = at + len(self.text[token])
-                if open_at[end] and (not out or self.compatible(out[-1], token)):
-                    break
-                token = self.shorter[token]
+                end = at + length[token]
+                if open_at[end]:
+                    if not out:
+                        break
+                    ok = pairs.get((out[-1], token))
+                    if ok or ok is None and self.compatible(out[-1], token):
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at = end
@@ -139,8 +146,8 @@ class Bpe:
                     raise ValueError("text outside the vocabulary")
                 open_at[at] = 0
                 last = out.pop()
-                at -= len(self.text[last])
-                token = self.shorter[last]
+                at -= length[last]
+                token = shorter[last]
         return out
 
     def _plain(self, text: str) -> bytes:
@@ -150,7 +157,7 @@ class Bpe:
             if ids is None:
                 if len(known) >= CACHE:
                     known.clear()
-                ids = known[p] = np.array(self.encode_bytes(p.encode()), np.int32).tobytes()
+                ids = known[p] = array("i", self.encode_bytes(p.encode())).tobytes()
             parts.append(ids)
         return b"".join(parts)
 
