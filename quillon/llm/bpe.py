@@ -202,7 +202,7 @@ _LOADED: dict[str, tuple[Bpe, tuple[np.ndarray, np.ndarray]]] = {}
 
 
 def loaded(definition: str) -> tuple[Bpe, tuple[np.ndarray, np.ndarray]]:
-    """The tokenizer of a definition, built once a worker."""
+    """The tokenizer of a definition, built once a task."""
     key = hashlib.sha1(definition.encode()).hexdigest()
     if key not in _LOADED:
         bpe = Bpe(definition)
@@ -239,8 +239,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
                 rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(back).hexdigest(), ids if with_ids else None))
             frame = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
             yield frame if with_ids else frame.drop(columns="ids")
-        bpe.known.clear()
-        bpe.pairs.clear()
+        # A worker outlives its tasks: what follows in it needs the memory.
+        del bpe
+        _LOADED.clear()
         release()
 
     made = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids

@@ -221,6 +221,7 @@ def _keys(docs: DataFrame, n: int, threshold: int, frequent) -> DataFrame:
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(flat)).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(mixed, pa.int64()), lists], ["doc_id", "n", "often", "keys"])
+        release()
 
     return docs.mapInArrow(run, "doc_id long, n long, often long, keys array<long>")
 
@@ -237,6 +238,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                 hists.append(FULL if counts.max() > 254 else counts.astype(np.uint8).tobytes())
                 sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), _binary(hists), _binary(sets)], ["doc", "n", "hist", "tokens"])
+        release()
 
     return docs.mapInArrow(run, "doc long, n long, hist binary, tokens binary")
 
