@@ -34,7 +34,7 @@ from quillon.llm.common import columns_of, release, ship
 
 #: Pretokens: fixed pattern of this tokenizer family, with white space as Unicode defines it.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-#: Pretokens a worker remembers; beyond it the memory starts anew.
+#: Pretokens a worker remembers, in two halves: a full new half replaces the old one, but for what is met again.
 CACHE = 200_000
 
 
@@ -61,13 +61,13 @@ class Bpe:
             self.text[i] = bytes(alphabet[c] for c in token)
         for token, i in self.special.items():
             self.text[i] = token.encode()
-        rank_of: dict[tuple[int, int], int] = {}
+        rank_of: dict[int, int] = {}  # by left * size + right
         self.split = [(i, i) for i in range(size)]
         self.rank = [-1] * size  # of the merge that makes a token; single bytes are older than any
         for rank, merge in enumerate(spec["model"]["merges"]):
             left, right = merge if isinstance(merge, list) else merge.split(" ")
             made = vocab[left + right]
-            rank_of[vocab[left], vocab[right]] = rank
+            rank_of[vocab[left] * size + vocab[right]] = rank
             if self.rank[made] < 0:
                 self.rank[made], self.split[made] = rank, (vocab[left], vocab[right])
         self.merge_rank = rank_of
@@ -75,7 +75,7 @@ class Bpe:
         special_ids = set(self.special.values())
         by_text = {t: i for i, t in enumerate(self.text) if t and i not in special_ids}
         for t, i in by_text.items():
-            self.automaton.add_word(t.decode("latin-1"), (len(t), i))
+            self.automaton.add_word(t.decode("latin-1"), (len(t) - 1, i))
         self.automaton.make_automaton()
         # The next shorter token that is a prefix of a token, or -1.
         self.shorter = [-1] * size
@@ -86,30 +86,30 @@ class Bpe:
         self.blob = np.frombuffer(b"".join(self.text), np.uint8)
         self.pretoken = regex.compile(PRETOKEN)
         self.special_pattern = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.size = size
+        self.pairs: dict[int, bool] = {}  # by left * size + right
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the two tokens stay apart: no merge across their border comes before those that make them."""
-        key = (left, right)
+        key = left * self.size + right
         if (known := self.pairs.get(key)) is not None:
             return known
-        never = len(self.merge_rank) + 1
-        a, b, until = left, right, never
+        merge_rank, made, split, size = self.merge_rank, self.rank, self.split, self.size
+        a, b, until = left, right, len(merge_rank) + 1
+        ra, rb = made[a], made[b]
         while True:
-            crossing = self.merge_rank.get((a, b), never)
-            if crossing < until:
-                ok = False
+            ok = merge_rank.get(a * size + b, until) >= until
+            if not ok or ra < 0 and rb < 0:
                 break
             # Undo whichever side was made last; its parts met the border before that.
-            ra, rb = self.rank[a], self.rank[b]
-            if ra < 0 and rb < 0:
-                ok = True
-                break
             if ra > rb:
-                until, a = ra, self.split[a][1]
+                until, a = ra, split[a][1]
+                ra = made[a]
             else:
-                until, b = rb + 1, self.split[b][0]
+                until, b = rb + 1, split[b][0]
+                rb = made[b]
         if len(self.pairs) > CACHE:
             self.pairs.clear()
         self.pairs[key] = ok
@@ -118,22 +118,21 @@ class Bpe:
     def encode_bytes(self, text: bytes) -> list[int]:
         n = len(text)
         longest = [-1] * n
-        width = [0] * n
-        for end, (size, token) in self.automaton.iter(text.decode("latin-1")):
-            start = end - size + 1
-            if size > width[start]:
-                width[start], longest[start] = size, token
-        open_at = bytearray(b"\x01" * (n + 1))
+        # Matches come in the order of their ends: the last of those with one start is the longest.
+        for end, (before, token) in self.automaton.iter(text.decode("latin-1")):
+            longest[end - before] = token
+        given_up = bytearray(n + 1)
         out: list[int] = []
-        length, shorter, pairs = self.length, self.shorter, self.pairs
+        length, shorter, pairs, size = self.length, self.shorter, self.pairs, self.size
         at, token = 0, longest[0] if n else -1
         while at < n:
+            row = out[-1] * size if out else -1
             while token >= 0:
                 end = at + length[token]
-                if open_at[end]:
-                    if not out:
+                if not given_up[end]:
+                    if row < 0:
                         break
-                    ok = pairs.get((out[-1], token))
+                    ok = pairs.get(row + token)
                     if ok or ok is None and self.compatible(out[-1], token):
                         break
                 token = shorter[token]
@@ -144,21 +143,23 @@ class Bpe:
             else:
                 if not out:
                     raise ValueError("text outside the vocabulary")
-                open_at[at] = 0
+                given_up[at] = 1
                 last = out.pop()
                 at -= length[last]
                 token = shorter[last]
         return out
 
     def _plain(self, text: str) -> bytes:
-        known, parts = self.known, []
-        for p in self.pretoken.findall(text):
-            ids = known.get(p)
+        pretokens = self.pretoken.findall(text)
+        parts = list(map(self.known.get, pretokens))
+        for i in [i for i, ids in enumerate(parts) if ids is None]:
+            p = pretokens[i]
+            ids = self.known.get(p) or self.older.get(p)
             if ids is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                ids = known[p] = array("i", self.encode_bytes(p.encode())).tobytes()
-            parts.append(ids)
+                ids = array("i", self.encode_bytes(p.encode())).tobytes()
+            if len(self.known) >= CACHE // 2:
+                self.older, self.known = self.known, {}
+            parts[i] = self.known[p] = ids
         return b"".join(parts)
 
     def encode(self, text: str | None) -> np.ndarray:
