@@ -1,20 +1,24 @@
-"""Removal of repeated runs of lines, by winnowing, in DataFrame operations alone.
+"""Removal of repeated runs of words, by winnowing, in DataFrame operations alone.
 
-Lines are compared without white space at their ends; blank ones are not units.
-The gram of a line is the shortest run of lines from it with GRAM words or more.
-Of the grams that start within WINDOW words from any line, the one with the least
-hash is a fingerprint.  So two documents that share a run of GRAM + WINDOW - 1
-words or more (whole lines) share a fingerprint in it, and none is shared by
-fewer than GRAM words.
+A text is its sequence of words; where lines break does not matter to the search.
+A gram is GRAM words in a row.  Of any WINDOW grams in a row the ones with the least
+hash are fingerprints.  So two places that share GRAM + WINDOW - 1 words in a row
+share a fingerprint in them, and none is shared by fewer than GRAM words.
 
-Every fingerprint is joined with its first occurrence, by doc_id and then
-position; the match is extended line by line both ways, as far as REACH words,
-within which the run's next fingerprint takes over.  The lines of the later
-occurrence are deleted, blank lines between them too.  The first stays.
+Every fingerprint is held against its first occurrence, by doc_id and then position.
+Fingerprints at one distance to the same first text, with no gap between their grams,
+are one run, which is then extended word by word both ways, as far as REACH words,
+within which the next fingerprint takes over.  The words of the later occurrence are
+deleted.  The first stays.  What repeats within one text alone is deleted from
+GRAM + WINDOW - 1 words on, so that refrains and overlaps of short lines stay.
 
-Hot lines: first occurrences come from an aggregate that combines map-side; the
-join of fingerprints with them is one to many on plain exchanges, which adaptive
-execution splits.  No pairs of later occurrences are made.
+Lines: a line that loses all its words goes, blank lines inside a run too; a line that
+loses some keeps the rest.  Where a run reaches fewer than EDGE words over a line's
+end or start, these stay: as many words are alike by chance.
+
+Hot runs: the aggregates combine map-side; the joins with first occurrences are one to
+many on plain exchanges, which adaptive execution splits.  No pairs of later
+occurrences are made, and a first text is asked for at most two contexts a word.
 
 Defined results: null text stays null, text without a word stays as it is.  A
 document that loses all its words has the empty text and ``kept`` false.  Rows
@@ -26,99 +30,166 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import columns_of, table
+from quillon.llm.common import PREFILTER_BUCKETS, columns_of, let, table
 
 GRAM = 25
 WINDOW = 25
 REACH = GRAM + WINDOW
-WORD = r"[^\x20\x09-\x0D]+"
-ENDS = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+EDGE = 3
+SPACE = r"\x20\x09-\x0D"
+
 
+def word_hashes(text: Column) -> Column:
+    words = F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
+    return F.transform(words, lambda w: F.xxhash64(F.lit(1), w))
 
-def _hash(tag: int, value: Column) -> Column:
-    return F.xxhash64(F.lit(tag), value)
 
+def fingerprints(docs: DataFrame, gram: int, window: int) -> DataFrame:
+    """``(doc_id, th, pos, g1, g2)``: selected grams; th tells texts of one doc_id apart, pos counts words from 0."""
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """``(doc_id, th, pos, h1, h2, words)`` of every line with a word; th tells texts of one doc_id apart."""
-    d = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    d = d.select("doc_id", "th", "pos", F.regexp_replace("line", ENDS, "").alias("line")).where("line <> ''")
-    return d.select("doc_id", "th", "pos", _hash(1, F.col("line")).alias("h1"), _hash(2, F.col("line")).alias("h2"), F.regexp_count("line", F.lit(WORD)).cast("bigint").alias("words"))
+    def of(h: Column) -> Column:
+        grams = F.transform(F.sequence(F.lit(1), F.size(h) - (gram - 1)), lambda i: F.xxhash64(F.lit(3), F.slice(h, i, gram)))
+        return F.when(F.size(h) >= gram, let(grams, lambda g: chosen(h, g)))
 
+    def chosen(h: Column, g: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(g) - (window - 1), F.lit(1)))
+        least = F.transform(starts, lambda j: F.array_min(F.slice(g, j, window)))
+        return let(least, lambda m: pick(h, g, m))
 
-def fingerprints(lines: DataFrame, gram: int, window: int) -> DataFrame:
-    """``(g1, g2, doc_id, th, pos, last, before, after)``: selected grams with the lines around them."""
-    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    lines = lines.repartition(n, "doc_id", "th").dropDuplicates(["doc_id", "th", "pos"])
-    doc = Window.partitionBy("doc_id", "th")
-    d = lines.withColumn("start", F.coalesce(F.sum("words").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    d = d.withColumn("n", F.row_number().over(doc.orderBy("start")))
-    here = doc.orderBy("start").rangeBetween(0, gram - 1)
-    d = d.withColumn("g", F.collect_list(F.struct("h1", "h2")).over(here)).withColumn("gw", F.sum("words").over(here))
-    mine = F.struct(_hash(3, F.col("g")).alias("g1"), _hash(4, F.col("g")).alias("g2"), F.col("n"), F.size("g").alias("k"))
-    d = d.withColumn("mine", F.when(F.col("gw") >= gram, mine))
-    d = d.withColumn("least", F.min("mine").over(doc.orderBy("start").rangeBetween(0, window - 1)))
-    line = F.struct("n", "pos", "start", "words", "h1", "h2")
-    d = d.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(line)).alias("lines"), F.collect_set("least").alias("least"))
+    def pick(h: Column, g: Column, m: Column) -> Column:
+        def is_least(x: Column, i: Column) -> Column:
+            low = F.greatest(i - (window - 1), F.lit(0))
+            return F.array_contains(F.slice(m, low + 1, i - low + 1), x)
 
-    at = lambda i: F.element_at("lines", i.cast("int"))  # noqa: E731  one-based, as n is
-    pick = lambda xs: F.transform(xs, lambda x: F.struct(x["pos"].alias("pos"), x["h1"].alias("h1"), x["h2"].alias("h2")))
-    reach = gram + window
+        at = F.filter(F.transform(g, lambda x, i: F.when(is_least(x, i), i)), lambda i: i.isNotNull())
+        return F.transform(at, lambda i: F.struct(i.alias("pos"), g[i].alias("g1"), F.xxhash64(F.lit(4), F.slice(h, i + 1, gram)).alias("g2")))
 
-    def around(f: Column) -> Column:
-        first, last = at(f["n"]), at(f["n"] + f["k"] - 1)
-        end = last["start"] + last["words"]
-        after = F.filter(F.slice("lines", f["n"] + f["k"], F.lit(reach)), lambda x: x["start"] < end + reach)
-        low = F.greatest(f["n"] - reach, F.lit(1))
-        before = F.filter(F.slice("lines", low, f["n"] - low), lambda x: x["start"] + x["words"] > first["start"] - reach)
-        return F.struct(f["g1"].alias("g1"), f["g2"].alias("g2"), first["pos"].alias("pos"), last["pos"].alias("last"), pick(F.reverse(before)).alias("before"), pick(after).alias("after"))
+    d = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), let(word_hashes(F.col("text")), of).alias("f"))
+    return d.select("doc_id", "th", F.explode("f").alias("f")).select("doc_id", "th", "f.*")
 
-    return d.select("doc_id", "th", F.explode(F.transform("least", around)).alias("f")).select("doc_id", "th", "f.*")
+
+def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """``(doc_id, th, runs)``: word ranges ``(a, b)``, ends included, with the first occurrence's words before and after."""
+    prints = table(fingerprints(docs, gram, window), "lines-fp")
+    place = F.xxhash64("doc_id", "th", "pos")
+    again = prints.groupBy("g1", "g2").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p < q").select("g1", "g2")
+    hits = table(prints.join(again, ["g1", "g2"], "left_semi"), "lines-hits")
+    first = hits.groupBy("g1", "g2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("at"))
+    first = table(first.select("g1", "g2", F.col("at.doc_id").alias("d0"), F.col("at.th").alias("t0"), F.col("at.pos").alias("p0")), "lines-first")
+    met = hits.join(first, ["g1", "g2"]).where(~(F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("th") == F.col("t0")) & (F.col("pos") == F.col("p0"))))
+    met = met.select("doc_id", "th", "d0", "t0", (F.col("pos") - F.col("p0")).alias("off"), "pos").distinct()
+    # Fingerprints of one diagonal whose grams touch are one run.
+    order = Window.partitionBy("doc_id", "th", "d0", "t0", "off").orderBy("pos")
+    met = met.withColumn("new", F.coalesce(F.col("pos") - F.lag("pos").over(order) > gram, F.lit(True)).cast("int"))
+    met = met.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = met.groupBy("doc_id", "th", "d0", "t0", "off", "run").agg(F.min("pos").alias("a"), (F.max("pos") + (gram - 1)).alias("b"))
+    runs = table(runs.select("doc_id", "th", "d0", "t0", "a", "b", (F.col("a") - F.col("off")).alias("a0"), (F.col("b") - F.col("off") + 1).alias("b0"), (F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("th") == F.col("t0"))).alias("own")), "lines-runs")
+    around = table(_contexts(docs, runs, gram + window), "lines-around")
+    for side, at in (("before", "a0"), ("after", "b0")):
+        c = around.where(F.col("side") == side).select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("at").alias("_at"), F.col("words").alias(side))
+        runs = runs.join(c, F.col("d0").eqNullSafe(F.col("_d")) & (F.col("t0") == F.col("_t")) & (F.col(at) == F.col("_at"))).drop("_d", "_t", "_at")
+    return runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b", "own", "before", "after")).alias("runs"))
+
+
+def _contexts(docs: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
+    """``(d, t, side, at, words)``: hashes of the words before (nearest first) or from word ``at`` of first texts."""
+    ends = F.array(F.struct(F.lit("before").alias("side"), F.col("a0").alias("at")), F.struct(F.lit("after").alias("side"), F.col("b0").alias("at")))
+    asked = runs.select(F.col("d0").alias("d"), F.col("t0").alias("t"), F.explode(ends).alias("x")).groupBy("d", "t").agg(F.collect_set("x").alias("asked"))
+    asked = table(asked, "lines-asked")
+    # Hash buckets drop most other texts before the shuffle.
+    slot = lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(PREFILTER_BUCKETS))
+    texts = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), "text").withColumn("_slot", slot("doc_id", "th"))
+    texts = texts.join(F.broadcast(asked.select(slot("d", "t").alias("_slot")).distinct()), "_slot", "left_semi")
+    met = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(["d", "t"])
+    found = let(word_hashes(F.col("text")), lambda h: F.transform("asked", lambda x: F.struct(x["side"].alias("side"), x["at"].alias("at"), F.when(x["side"] == "before", _before(h, x["at"], reach)).otherwise(F.slice(h, x["at"] + 1, reach)).alias("words"))))
+    return met.select("d", "t", F.explode(found).alias("x")).select("d", "t", "x.*")
+
+
+def _before(h: Column, at: Column, reach: int) -> Column:
+    low = F.greatest(at - reach, F.lit(0))
+    return F.reverse(F.slice(h, low + 1, at - low))
 
 
 def _common(a: Column, b: Column) -> Column:
-    """How many leading lines of two lists are equal."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce((x["h1"] == y["h1"]) & (x["h2"] == y["h2"]), F.lit(False)))
+    """How many leading elements of two lists are equal."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
     bad = F.array_position(same, F.lit(False))
     return F.when(bad == 0, F.least(F.size(a), F.size(b))).otherwise(bad - 1).cast("int")
 
 
-def repeated_ranges(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, th, ranges)``: line ranges ``(a, b)``, ends included, to delete of each document."""
-    prints = table(fingerprints(lines_of(docs), gram, window), "lines-fp")
-    where = F.struct("doc_id", "th", "pos")
-    # The map-side minimum finds where a gram comes first; only that row's context is then read.
-    first = prints.groupBy("g1", "g2").agg(F.count("*").alias("n"), F.min(where).alias("at")).where("n > 1")
-    first = table(first.select("g1", "g2", F.col("at.doc_id").alias("d0"), F.col("at.th").alias("t0"), F.col("at.pos").alias("p0")), "lines-first")
-    source = prints.select(F.col("g1").alias("f1"), F.col("g2").alias("f2"), F.col("doc_id").alias("d1"), F.col("th").alias("t1"), F.col("pos").alias("p1"), F.transform("before", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))).alias("before0"), F.transform("after", lambda x: F.struct(x["h1"].alias("h1"), x["h2"].alias("h2"))).alias("after0"))
-    first = first.join(source, F.col("d0").eqNullSafe(F.col("d1")) & (F.col("t0") == F.col("t1")) & (F.col("p0") == F.col("p1")) & (F.col("g1") == F.col("f1")) & (F.col("g2") == F.col("f2")))
-    first = table(first.select("g1", "g2", "d0", "t0", "p0", "before0", "after0"), "lines-first")
-    met = prints.join(first, ["g1", "g2"]).where(~(F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("th") == F.col("t0")) & (F.col("pos") == F.col("p0"))))
-    left, right = _common(F.col("before"), F.col("before0")), _common(F.col("after"), F.col("after0"))
-    a = F.when(left > 0, F.col("before")[left - 1]["pos"]).otherwise(F.col("pos"))
-    b = F.when(right > 0, F.col("after")[right - 1]["pos"]).otherwise(F.col("last"))
-    spans = met.select("doc_id", "th", a.alias("a"), b.alias("b")).distinct()
-    # Overlapping or adjacent ranges of a document become one.
-    order = Window.partitionBy("doc_id", "th").orderBy("a", "b")
-    spans = spans.withColumn("reach", F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    spans = spans.withColumn("island", F.sum(F.when(F.col("reach") + 1 >= F.col("a"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = spans.groupBy("doc_id", "th", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
-    return spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ranges"))
+def _ranges(h: Column, runs: Column, reach: int) -> Column:
+    """The runs extended, in order, overlapping or adjacent ones made one; short ones of the text's own words left out."""
+
+    def extended(r: Column) -> Column:
+        left = _common(_before(h, r["a"], reach), r["before"])
+        right = _common(F.slice(h, r["b"] + 2, reach), r["after"])
+        return F.struct((r["a"] - left).alias("a"), (r["b"] + right).alias("b"), r["own"].alias("own"))
+
+    def add(done: Column, r: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        joined = F.struct(last["a"].alias("a"), F.greatest(last["b"], r["b"]).alias("b"))
+        return F.when(last["b"] + 1 >= r["a"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined))).otherwise(F.concat(done, F.array(r)))
+
+    found = F.filter(F.transform(runs, extended), lambda r: ~r["own"] | (r["b"] - r["a"] >= reach - 2))
+    found = F.transform(found, lambda r: F.struct(r["a"].alias("a"), r["b"].alias("b")))
+    return F.aggregate(F.array_sort(found), F.array().cast("array<struct<a:int,b:int>>"), add)
+
+
+def _cut(units: Column, ranges: Column) -> Column:
+    """The units, each a word with the space before it, joined without those in ranges."""
+    breaks = lambda i: units[i].contains("\n")
+    gap = lambda i: F.regexp_extract(units[i], f"^[{SPACE}]*", 0)
+
+    def snapped(r: Column) -> Column:
+        a, b = F.when(breaks(r["a"]), r["a"]), F.when(breaks(r["b"] + 1), r["b"])
+        for k in range(1, EDGE):
+            a, b = a.when(breaks(r["a"] + k), r["a"] + k), b.when(breaks(r["b"] + 1 - k), r["b"] - k)
+        return F.struct(a.otherwise(r["a"]).alias("a"), b.otherwise(r["b"]).alias("b"))
+
+    def with_gap(r: Column) -> Column:
+        g, h = gap(r["a"]), gap(r["b"] + 1)
+        before = F.regexp_replace(g, r"\n[^\n]*\z", "")
+        after = F.regexp_extract(h, r"\n(?s:.*)", 0)
+        inside = F.array_join(F.slice(units, r["a"] + 2, r["b"] - r["a"]), "").contains("\n")
+        made = F.when(h.contains("\n"), F.when(g.contains("\n"), F.concat(before, after)).otherwise(after)).when(g.contains("\n") | ~inside, g).otherwise(F.lit("\n"))
+        return F.struct(r["a"].alias("a"), r["b"].alias("b"), made.alias("gap"))
+
+    def kept(cuts: Column) -> Column:
+        def unit(u: Column, i: Column) -> Column:
+            ended = F.filter(cuts, lambda r: r["b"] + 1 == i)
+            return F.when(F.exists(cuts, lambda r: (i >= r["a"]) & (i <= r["b"])), F.lit("")).when(F.size(ended) > 0, F.concat(F.get(ended, F.lit(0))["gap"], F.regexp_replace(u, f"^[{SPACE}]+", ""))).otherwise(u)
+
+        return F.array_join(F.transform(units, unit), "")
+
+    return let(F.transform(F.transform(ranges, snapped), with_gap), kept)
 
 
 def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated runs cut from ``text``, and ``n_lines_removed``, ``kept``; ``n_chars`` follows where present."""
-    ranges = repeated_ranges(columns_of(docs, "doc_id", "text"), gram, window)
-    ranges = ranges.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("ranges").alias("_r"))
+    runs = repeated_runs(columns_of(docs, "doc_id", "text"), gram, window)
+    runs = runs.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("runs").alias("_r"))
     made = ("n_lines_removed", "kept")
     plain = columns_of(docs, *(c for c in docs.columns if c not in made)).withColumn("_th", F.xxhash64("text"))
-    out = plain.join(ranges, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
-    lines = F.split("text", "\n")
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.exists("_r", lambda r: (i >= r["a"]) & (i <= r["b"]))), "\n")
-    gone = F.coalesce(F.aggregate("_r", F.lit(0).cast("bigint"), lambda n, r: n + r["b"] - r["a"] + 1), F.lit(0).cast("bigint"))
-    out = out.withColumn("_new", F.when(F.col("_r").isNull(), F.col("text")).otherwise(rest))
-    out = out.withColumn("kept", F.col("_r").isNull() | F.col("_new").rlike(r"[^\x20\x09-\x0D]"))
-    out = out.withColumn("text", F.when(F.col("kept"), F.col("_new")).otherwise(F.lit(""))).withColumn("n_lines_removed", gone)
+    out = plain.join(runs, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")), "left")
+
+    def cut(whole: Column) -> Column:  # the text between two line ends, so that all lines are alike
+        def at(units: Column) -> Column:
+            rest = F.substring(whole, F.length(F.array_join(units, "")) + 1, F.length(whole))
+            ranges = let(word_hashes(whole), lambda h: _ranges(h, F.col("_r"), gram + window))
+            return let(F.concat(units, F.array(rest)), lambda u: let(ranges, lambda r: _cut(u, r)))
+
+        return let(F.regexp_extract_all(whole, F.lit(f"[{SPACE}]*[^{SPACE}]+"), F.lit(0)), at)
+
+    whole = F.concat(F.lit("\n"), F.col("text"), F.lit("\n"))
+    found = F.when(F.col("_r").isNotNull(), let(let(whole, cut), lambda new: F.struct(
+        F.when(new.rlike(f"[^{SPACE}]"), F.substring(new, F.lit(2), F.length(new) - 2)).otherwise(F.lit("")).alias("text"),
+        new.rlike(f"[^{SPACE}]").alias("kept"),
+        (F.regexp_count("text", F.lit("\n")) + 2 - F.regexp_count(new, F.lit("\n"))).cast("bigint").alias("gone"),
+    )))
+    # The generator keeps the cut from being computed once for each of its fields.
+    out = out.withColumn("_new", F.explode(F.array(found)))
+    out = out.withColumn("text", F.when(F.col("_r").isNull(), F.col("text")).otherwise(F.col("_new.text")))
+    out = out.withColumn("kept", F.coalesce("_new.kept", F.lit(True))).withColumn("n_lines_removed", F.coalesce("_new.gone", F.lit(0).cast("bigint")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_r").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns if c not in made), *made)

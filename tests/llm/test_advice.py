@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+from quillon.llm import linededup
 from test_operators import frame, prose
 
 
@@ -14,3 +15,20 @@ def test_null_ids_survive_near_duplicates(spark):
     got = corpus_pipeline.near_duplicates(spark, frame(spark, rows), "")
     assert got.columns == frame(spark, rows).columns
     assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter((i, t) for i, t, *_ in rows if i != 2)
+
+
+def test_passages_inside_lines(spark):
+    rng = random.Random(12)
+    own = lambda n: prose(rng, "ko lu".split(), n).replace("k", rng.choice("bdfg")).split()
+    rows, want = [], {}
+    for i in range(30):
+        passage = prose(random.Random(i // 2), "ra te mi".split(), 49 + i // 2).split()
+        head, tail = own(10) + [f"h{i}"], [f"t{i}"] + own(10)
+        gaps = [rng.choice([" ", " ", " ", "\n", "  "]) for _ in passage]  # lines break elsewhere in each
+        gaps[0] = gaps[1] = gaps[2] = gaps[-1] = gaps[-2] = " "
+        text = " ".join(head) + "".join(g + w for g, w in zip(gaps, passage)) + " " + " ".join(tail)
+        rows.append((i, text, "a", "s"))
+        want[i] = (" ".join(head) + ("\n" if "\n" in gaps else " ") + " ".join(tail), max(gaps.count("\n") - 1, 0)) if i % 2 else (text, 0)
+    got = linededup.dedup_lines(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.text, r.n_lines_removed) for r in got} == want
+    assert all(r.kept and r.n_chars == len(r.text) for r in got)
