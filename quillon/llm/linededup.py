@@ -44,28 +44,39 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.lit(1), w))
 
 
+def _spread(values: Column, width: int, f, then) -> Column:
+    """``then`` of the list that has, at each place, ``f`` over ``width`` values from there: spans double, the last two overlap."""
+
+    def at(x: Column, span: int) -> Column:
+        if span == width:
+            return then(x)
+        step = min(span, width - span)
+        return let(F.zip_with(x, F.slice(x, step + 1, F.size(x)), f), lambda y: at(y, span + step))
+
+    return at(values, 1)
+
+
 def fingerprints(docs: DataFrame, gram: int, window: int) -> DataFrame:
     """``(doc_id, th, pos, g1, g2)``: selected grams; th tells texts of one doc_id apart, pos counts words from 0."""
 
     def of(h: Column) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(h) - (gram - 1)), lambda i: F.xxhash64(F.lit(3), F.slice(h, i, gram)))
+        grams = _spread(h, gram, lambda x, y: F.xxhash64(F.lit(3), x, y), lambda x: F.slice(x, 1, F.size(h) - (gram - 1)))
         return F.when(F.size(h) >= gram, let(grams, lambda g: chosen(h, g)))
 
     def chosen(h: Column, g: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(g) - (window - 1), F.lit(1)))
-        least = F.transform(starts, lambda j: F.array_min(F.slice(g, j, window)))
-        return let(least, lambda m: pick(h, g, m))
+        least = _spread(g, window, lambda x, y: F.least(x, y), lambda x: F.slice(x, 1, F.greatest(F.size(g) - (window - 1), F.lit(1))))
+        pad = F.array_repeat(F.lit(None).cast("bigint"), window - 1)
+        # A gram is chosen if it is the least of any window that holds it.
+        most = let(least, lambda m: _spread(F.concat(pad, m, pad), window, lambda x, y: F.greatest(x, y), lambda x: x))
+        return let(most, lambda m: pick(h, g, m))
 
     def pick(h: Column, g: Column, m: Column) -> Column:
-        def is_least(x: Column, i: Column) -> Column:
-            low = F.greatest(i - (window - 1), F.lit(0))
-            return F.array_contains(F.slice(m, low + 1, i - low + 1), x)
-
-        at = F.filter(F.transform(g, lambda x, i: F.when(is_least(x, i), i)), lambda i: i.isNotNull())
+        at = F.filter(F.transform(g, lambda x, i: F.when(x == m[i], i)), lambda i: i.isNotNull())
         return F.transform(at, lambda i: F.struct(i.alias("pos"), g[i].alias("g1"), F.xxhash64(F.lit(4), F.slice(h, i + 1, gram)).alias("g2")))
 
     d = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), let(word_hashes(F.col("text")), of).alias("f"))
-    return d.select("doc_id", "th", F.explode("f").alias("f")).select("doc_id", "th", "f.*")
+    # Not explode: the filter inferred from it would compute the list again.
+    return d.select("doc_id", "th", F.explode_outer("f").alias("f")).where("f is not null").select("doc_id", "th", "f.*")
 
 
 def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -102,7 +113,7 @@ def _contexts(docs: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
     texts = texts.join(F.broadcast(asked.select(slot("d", "t").alias("_slot")).distinct()), "_slot", "left_semi")
     met = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))).dropDuplicates(["d", "t"])
     found = let(word_hashes(F.col("text")), lambda h: F.transform("asked", lambda x: F.struct(x["side"].alias("side"), x["at"].alias("at"), F.when(x["side"] == "before", _before(h, x["at"], reach)).otherwise(F.slice(h, x["at"] + 1, reach)).alias("words"))))
-    return met.select("d", "t", F.explode(found).alias("x")).select("d", "t", "x.*")
+    return met.select("d", "t", F.explode_outer(found).alias("x")).select("d", "t", "x.*")
 
 
 def _before(h: Column, at: Column, reach: int) -> Column:
