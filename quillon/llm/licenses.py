@@ -1,13 +1,12 @@
 """License scans by MinHash bands over overlapping windows, in DataFrame operations alone.
 
 Words are runs of letters and digits, lower-cased; shingles are NGRAM words.  A text
-is cut into windows of WINDOW shingles, STEP apart, so that every shingle lies in
-WINDOW / STEP of them, and so are the templates.  Each window has BANDS minimum
-hashes, a band each; a text window and a template window that share one make the
-template a candidate of the document.  A window that holds but one shingle of a
-template meets it with probability 1 - (1 - 1/WINDOW)^BANDS in each window, 0.99 for
-either of the two; a template of s shingles, of which a match has 0.8 s, is missed
-with at most 0.01^(2 * 0.8 s).  A candidate is verified exactly: the share of the
+is cut into windows of WINDOW shingles, STEP apart, and so are the templates.  Each
+window has BANDS minimum hashes, a band each; a text window and a template window that
+share one make the template a candidate of the document.  Bands alone would miss some
+templates of few shingles, above all at the ends of a text, where a shingle lies in one
+window only; so every shingle's own hash is a band key too, and a text that shares any
+shingle with a template is surely a candidate.  A candidate is verified exactly: the share of the
 template's distinct shingles that the document holds must reach THRESHOLD.
 
 Documents that cannot match are left out first: from every template words are taken
@@ -91,11 +90,12 @@ def shingles(text: Column) -> Column:
 
 
 def bands(hashes: Column) -> Column:
-    """Distinct band keys of all windows of a list of shingle hashes."""
+    """Distinct band keys of all windows of a list of shingle hashes, and of each shingle."""
     n = F.size(hashes)
     starts = F.when(n > 0, F.sequence(F.lit(1), F.greatest(n - (WINDOW - STEP), F.lit(1)), F.lit(STEP)))
     mins = lambda part: F.array(*(F.xxhash64(F.lit(b), F.array_min(F.transform(part, lambda h: F.xxhash64(F.lit(b), h)))) for b in range(BANDS)))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: mins(F.slice(hashes, i, WINDOW)))))
+    windows = F.flatten(F.transform(starts, lambda i: mins(F.slice(hashes, i, WINDOW))))
+    return F.array_distinct(F.concat(windows, F.transform(hashes, lambda h: F.xxhash64(F.lit(-1), h))))
 
 
 def _band_rows(df: DataFrame, shingle_column: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from quillon.llm import linededup
+from quillon.llm import licenses, linededup
 from test_operators import frame, prose
 
 
@@ -32,3 +32,11 @@ def test_passages_inside_lines(spark):
     got = linededup.dedup_lines(frame(spark, rows)).collect()
     assert {r.doc_id: (r.text, r.n_lines_removed) for r in got} == want
     assert all(r.kept and r.n_chars == len(r.text) for r in got)
+
+
+def test_license_at_the_end_of_a_text(spark):
+    rng = random.Random(13)
+    # 25 words before make an even number of shingles, so that the last lies in one window only.
+    rows = [(i, f"{prose(rng, 'ka lo mi ne pu'.split(), 25)} Released under the MIT License.", "a", "s") for i in range(800)]
+    got = licenses.scan(frame(spark, rows)).collect()
+    assert sorted((r.doc_id, r.license, r.containment) for r in got) == [(i, "mit", 1.0) for i in range(800)]
