@@ -32,7 +32,7 @@ from quillon.llm.common import columns_of, release, ship
 UND = "und"
 #: Bounds of the labelled sample the model is fitted on.
 SAMPLE_DOCS = 48  # documents a language
-SAMPLE_CHARS = 20_000  # characters a language, after normalisation
+SAMPLE_CHARS = 32_768  # characters a language, after normalisation
 SAMPLE_CHARS_DOC = 4_096  # characters of one document
 MAX_LANGS = 64
 MAX_LETTERS = 126
@@ -194,7 +194,7 @@ def training_samples(docs: DataFrame) -> dict[str, str]:
     return {k: v for k, v in joined.items() if v}
 
 
-BATCH_SYMBOLS = 2_500_000
+BATCH_SYMBOLS = 1_250_000
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from quillon.llm import licenses, linededup
+from quillon.llm import langid, licenses, linededup
 from test_operators import frame, prose
 
 
@@ -40,3 +40,9 @@ def test_license_at_the_end_of_a_text(spark):
     rows = [(i, f"{prose(rng, 'ka lo mi ne pu'.split(), 25)} Released under the MIT License.", "a", "s") for i in range(800)]
     got = licenses.scan(frame(spark, rows)).collect()
     assert sorted((r.doc_id, r.license, r.containment) for r in got) == [(i, "mit", 1.0) for i in range(800)]
+
+
+def test_language_sample_size(spark):
+    rng = random.Random(14)
+    rows = [(i, prose(rng, "ka lo mi ne pu".split(), 1200), "aa", "s") for i in range(40)]
+    assert 32_700 < len(langid.training_samples(frame(spark, rows))["aa"]) <= 32_768
