@@ -19,6 +19,14 @@ def format_row(values) -> str:
     return " ".join(str(v) if v else "NULL" for v in values)
 
 
+def wrapping(column: Column) -> Column:
+    """A whole number (bigint, or decimal of scale 0) modulo 2**64, as decimal(20,0)."""
+    return F.pmod(column.cast("decimal(38,0)"), F.lit(TWO_64)).cast("decimal(20,0)")
+
+
 def wrapping_sum(column: Column) -> Column:
-    """SUM modulo 2**64, as decimal(20,0)."""
-    return (F.sum(column.cast("decimal(20,0)")) % F.lit(TWO_64)).cast("decimal(20,0)")
+    """SUM modulo 2**64, as decimal(20,0).
+
+    Values are reduced first; their sum has 38 digits, which 10**18 rows do not fill.
+    """
+    return wrapping(F.sum(wrapping(column).cast("decimal(28,0)")))

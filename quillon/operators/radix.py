@@ -22,11 +22,28 @@ def radix_partition(df: DataFrame, column: str, bits: int, bits2: int | None = N
     return out if bits2 is None else out.withColumn("bucket2", second_bucket(F.col(column), bits, bits2))
 
 
-def clustered(df: DataFrame, column: str, bits: int, n: int | None = None) -> DataFrame:
-    """Rows of a bucket together, buckets ascending inside each Spark partition."""
-    out = radix_partition(df, column, bits)
+def clustered(df: DataFrame, column: str, bits: int, bits2: int | None = None, n: int | None = None) -> DataFrame:
+    """Really partitioned: rows of a bucket in one Spark partition, buckets ascending in it, then second buckets.
+
+    The first pass deals rows by bucket, the second orders each partition by the next
+    bits; both are one exchange and one sort.
+    """
+    out = radix_partition(df, column, bits, bits2)
     placed = out.repartition(n, "bucket") if n else out.repartition("bucket")
-    return placed.sortWithinPartitions("bucket")
+    return placed.sortWithinPartitions("bucket", *([] if bits2 is None else ["bucket2"]))
+
+
+def layout(placed: DataFrame) -> DataFrame:
+    """``(bucket, n, n_partitions, n_falls)`` of a clustered frame as it lies.
+
+    n_falls counts the rows whose bucket (or second bucket) is less than that of the row
+    before them in their partition: 0 if the partitioning is in order.
+    """
+    key = F.struct(*(c for c in ("bucket", "bucket2") if c in placed.columns))
+    rows = placed.select("bucket", key.alias("key"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    fell = F.coalesce((F.col("key") < F.lag("key").over(Window.partitionBy("part").orderBy("at"))).cast("bigint"), F.lit(0))
+    rows = rows.select("bucket", "part", fell.alias("fell"))
+    return rows.groupBy("bucket").agg(F.count("*").alias("n"), F.countDistinct("part").alias("n_partitions"), F.sum("fell").alias("n_falls"))
 
 
 def histogram(df: DataFrame, column: str, bits: int) -> DataFrame:
@@ -54,13 +71,18 @@ def pair_join(r: DataFrame, s: DataFrame, hint: str | None = None) -> DataFrame:
     return left.join(right.hint(hint) if hint else right, "value").select("r_id", "s_id")
 
 
-def value_index(df: DataFrame, value: str, row_id: str) -> DataFrame:
-    """``(value, ids, n)``: the sorted row ids of each value.
+#: Row ids that one page of a value's index spans.
+PAGE = 4_096
+
+
+def value_index(df: DataFrame, value: str, row_id: str, page: int = PAGE) -> DataFrame:
+    """``(value, page, ids, n)``: the sorted row ids of each value, in pages of ``page`` consecutive id numbers.
 
-    A value's ids form one row, as in any multimap; ask ``value_counts`` where only
-    their number is wanted.
+    A page holds at most ``page`` distinct ids, so a value that holds any share of all
+    rows is spread over many rows and tasks.
     """
-    return df.groupBy(F.col(value).alias("value")).agg(F.sort_array(F.collect_list(row_id)).alias("ids")).withColumn("n", F.size("ids").cast("bigint"))
+    rows = df.select(F.col(value).alias("value"), F.floor(F.col(row_id) / F.lit(page)).cast("bigint").alias("page"), F.col(row_id).alias("id"))
+    return rows.groupBy("value", "page").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("n", F.size("ids").cast("bigint"))
 
 
 def value_counts(df: DataFrame, value: str) -> DataFrame:

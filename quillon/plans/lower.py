@@ -20,6 +20,8 @@ from quillon.plans.dsl import ColumnRef, Filter, JoinPred, QuerySpec, parse
 from quillon.sources.catalog import Catalog
 
 U32 = 0xFFFFFFFF
+#: Largest estimated side that a broadcast hint is passed on for.
+BROADCAST_BYTES = 512 << 20
 
 
 class DisconnectedQuery(ValueError):
@@ -35,6 +37,12 @@ def _compare(column: Column, f: Filter) -> Column:
     return {"<": column < value, ">": column > value, "=": column == value}[f.op]
 
 
+def hinted(df: DataFrame, hint: str | None) -> DataFrame:
+    if hint is None or hint == "broadcast" and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > BROADCAST_BYTES:
+        return df
+    return df.hint(hint)
+
+
 def lower(
     catalog: Catalog,
     spec: QuerySpec,
@@ -47,7 +55,8 @@ def lower(
     """The joined and filtered rows, one column per touched ``alias.index``.
 
     order: the join predicates in the order to fold (default: as written).
-    hint: a Spark join hint for every join (``broadcast``, ``shuffle_hash``, ``merge``).
+    hint: a Spark join hint for every join (``broadcast``, ``shuffle_hash``, ``merge``);
+    a side is broadcast only while Spark's estimate of it is at most BROADCAST_BYTES.
     allow_cross: SQL's cross product for aliases no predicate connects, else an error.
     compat_u32: filters and joins compare the low 32 bits only.
     """
@@ -60,11 +69,8 @@ def lower(
     col = lambda ref: key(F.col(_name(ref)))
 
     def scan(alias: int) -> DataFrame:
-        base = catalog[spec.relations[alias]]
         refs = sorted(c for c in touched if c.alias == alias)
-        for ref in refs:
-            if ref.index >= len(base.columns):
-                raise ValueError(f"column {ref} is out of range: relation {spec.relations[alias]} has {len(base.columns)}")
+        base = catalog.columns(spec.relations[alias], [r.index for r in refs])
         df = base.select(*(F.col(f"c{r.index}").alias(_name(r)) for r in refs))
         for f in spec.filters:
             if f.column.alias == alias:
@@ -88,7 +94,7 @@ def lower(
             using = [j for j in pending if new in (j.left.alias, j.right.alias) and {j.left.alias, j.right.alias} <= joined | {new}]
             right = scan(new)
             on = [col(j.left) == col(j.right) for j in using]
-            df = df.join(right.hint(hint) if hint else right, on, "inner")
+            df = df.join(hinted(right, hint), on, "inner")
             pending, joined = [j for j in pending if j not in using], joined | {new}
         # Predicates between aliases that a cross product has brought together.
         for j in [j for j in pending if {j.left.alias, j.right.alias} <= joined]:

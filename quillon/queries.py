@@ -17,7 +17,7 @@ from quillon.plans.batch import Engine
 from quillon.plans.dsl import QuerySpec, parse
 from quillon.plans.lower import query
 from quillon.sources import binary, tbl
-from quillon.sources.catalog import STAR, star_catalog
+from quillon.sources.catalog import STAR, Catalog, parquet_frame, star_catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,7 +68,7 @@ def _ordered(policy: str) -> Query:
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return parquet_frame(spark, f"{sf_dir}/{table}.parquet")
 
 
 def _batch_run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,12 +101,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def _scan_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import os
+    folder = shared_folder(spark)
+    binary.write_frame(star_catalog(spark, sf_dir)[4], folder)
+    return binary.read(spark, folder).agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1"))
+
 
-    folder = shared_folder(spark).removeprefix("file://")
-    os.makedirs(folder)
-    binary.write_frame(star_catalog(spark, sf_dir)[4], f"{folder}/part")
-    return binary.read(spark, f"{folder}/part").agg(F.sum("c0").alias("s0"), F.sum("c1").alias("s1"))
+def _scan_binary_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join of two binary relations: only the columns it touches are read, filters reach the reader."""
+    source, catalog = star_catalog(spark, sf_dir), Catalog(spark)
+    for relation in (6, 4):
+        folder = shared_folder(spark)
+        binary.write_frame(source[relation], folder)
+        catalog.binary(source.names[relation], folder)
+    return query(catalog, "0 1|0.1=1.0&1.1>25&0.2<50|0.1 1.1")
 
 
 def _scan_tbl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,14 +128,14 @@ def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _estimate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = parse(DSL["filter_gt"])
-    engine = Engine(star_catalog(spark, sf_dir))
+    engine = Engine(star_catalog(spark, sf_dir), exact_stats=True)
     stats = ordering.filtered(spec, ordering.alias_stats(spec, {r: engine.relation_stats(r) for r in spec.relations}))
     return spark.createDataFrame([(str(c), float(s.min), float(s.max), float(s.count), float(s.distinct)) for c, s in sorted(stats.items())], "col string, min double, max double, count double, distinct double")
 
 
 def _estimate_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     spec = parse(DSL["join_two"])
-    engine = Engine(star_catalog(spark, sf_dir))
+    engine = Engine(star_catalog(spark, sf_dir), exact_stats=True)
     stats = ordering.alias_stats(spec, {r: engine.relation_stats(r) for r in spec.relations})
     return spark.createDataFrame([(ordering.cost(spec, stats, spec.joins),)], "rows double")
 
@@ -167,12 +174,14 @@ QUERIES: dict[str, Query] = {k: _dsl(v) for k, v in DSL.items()} | {
     "radix_histogram": lambda s, d: radix.histogram(_read(s, d, "lineitem"), "l_partkey", 8),
     "radix_prefix_sum": lambda s, d: radix.prefix_sum(radix.histogram(_read(s, d, "lineitem"), "l_partkey", 8)),
     "radix_max_partition": lambda s, d: radix.largest_partition(radix.histogram(_read(s, d, "lineitem"), "l_partkey", 8)),
-    "radix_partition": lambda s, d: radix.radix_partition(_read(s, d, "part").select("p_partkey"), "p_partkey", 8),
-    "radix_partition2": lambda s, d: radix.radix_partition(_read(s, d, "part").select("p_partkey"), "p_partkey", 8, 10),
+    "radix_partition": lambda s, d: radix.clustered(_read(s, d, "part").select("p_partkey"), "p_partkey", 8),
+    "radix_partition2": lambda s, d: radix.clustered(_read(s, d, "part").select("p_partkey"), "p_partkey", 8, 10),
+    "radix_layout": lambda s, d: radix.layout(radix.clustered(_read(s, d, "lineitem").select("l_partkey"), "l_partkey", 8)),
+    "radix_layout2": lambda s, d: radix.layout(radix.clustered(_read(s, d, "lineitem").select("l_partkey"), "l_partkey", 4, 6)),
     "value_lookup": lambda s, d: radix.value_lookup(_read(s, d, "lineitem"), "l_partkey", 42, "l_orderkey"),
-    "value_index": lambda s, d: radix.value_index(_read(s, d, "lineitem").select("l_partkey", "l_orderkey"), "l_partkey", "l_orderkey").select("value", "n", F.concat_ws(",", F.col("ids").cast("array<string>")).alias("ids")),
+    "value_index": lambda s, d: radix.value_index(_read(s, d, "lineitem").select("l_partkey", "l_orderkey"), "l_partkey", "l_orderkey").select("value", "page", "n", F.concat_ws(",", F.col("ids").cast("array<string>")).alias("ids")),
     "column_stats": _stats,
-    "sum_wrap_u64": lambda s, d: _read(s, d, "lineitem").select((F.col("l_orderkey").cast("decimal(20,0)") * F.lit(900000000000000).cast("decimal(15,0)")).cast("decimal(20,0)").alias("v")).agg(wrapping_sum(F.col("v")).cast("string").alias("s0")),
+    "sum_wrap_u64": lambda s, d: _read(s, d, "lineitem").select((F.col("l_orderkey").cast("decimal(20,0)") * F.lit(900000000000000).cast("decimal(15,0)")).alias("v")).agg(wrapping_sum(F.col("v")).cast("string").alias("s0")),
     "join_order_simple": _ordered("simple"),
     "join_order_greedy": _ordered("greedy"),
     "join_order_all": _all_orders,
@@ -184,16 +193,31 @@ QUERIES: dict[str, Query] = {k: _dsl(v) for k, v in DSL.items()} | {
     "format_line": _format_line,
     "cross_product": _dsl("0 1||0.0 1.1", allow_cross=True),
     "scan_binary": _scan_binary,
+    "scan_binary_filter": _scan_binary_filter,
     "scan_tbl": _scan_tbl,
 }
 
 _PAIRS_SQL = "SELECT o.o_orderkey AS r_id, c.c_custkey AS s_id FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"
 _HIST_SQL = "SELECT l_partkey & 255 AS bucket, COUNT(*) AS n FROM lineitem GROUP BY 1"
+_LAYOUT_SQL = "SELECT l_partkey & {} AS bucket, COUNT(*) AS n, CAST(1 AS BIGINT) AS n_partitions, CAST(0 AS BIGINT) AS n_falls FROM lineitem GROUP BY 1"
 _STATS_SQL = " UNION ALL ".join(
     f"SELECT 'c{i}' AS col, CAST(MIN({c}) AS BIGINT) AS min, CAST(MAX({c}) AS BIGINT) AS max, COUNT({c}) AS count, COUNT(DISTINCT {c}) AS distinct FROM lineitem" for i, c in enumerate(STAR[6][1])
 )
 _PART_SUM_SQL = "SELECT CAST(SUM(p_partkey) AS BIGINT) AS s0, CAST(SUM(p_size) AS BIGINT) AS s1 FROM part"
 
+#: Statistics of lineitem after l_suppkey > 50: the uniform share of the range, on all counts.
+_FILTERED_SQL = f"""WITH stats AS ({_STATS_SQL}), share AS (
+  SELECT CASE WHEN count <= 0 THEN 0.0 WHEN max = min THEN CAST(min > 50 AS INT) ELSE LEAST(1.0, GREATEST(0.0, CAST(max - 50 AS DOUBLE) / (max - min))) END AS f FROM stats WHERE col = 'c2'
+), rest AS (SELECT col, min, max, count * f AS count, LEAST("distinct", count * f) AS d, f FROM stats, share)
+SELECT '0.' || substr(col, 2) AS col, CAST(CASE WHEN col = 'c2' THEN GREATEST(min, 51) ELSE min END AS DOUBLE) AS min, CAST(CASE WHEN col = 'c2' THEN GREATEST(max, min, 51) ELSE max END AS DOUBLE) AS max,
+  CAST(count AS DOUBLE) AS count, CAST(CASE WHEN col = 'c2' THEN d * f ELSE d END AS DOUBLE) AS "distinct" FROM rest"""
+#: Rows of the filtered lineitem joined with orders: both sides cut to the common range, over the larger distinct count.
+_JOINED_SQL = f"""WITH l AS (SELECT * FROM ({_FILTERED_SQL}) WHERE col = '0.0'), r AS (
+  SELECT CAST(MIN(o_orderkey) AS DOUBLE) AS min, CAST(MAX(o_orderkey) AS DOUBLE) AS max, COUNT(*) AS count, COUNT(DISTINCT o_orderkey) AS d FROM orders
+), inside AS (SELECT l.count AS lc, l."distinct" AS ld, r.count AS rc, r.d AS rd, GREATEST(l.min, r.min) AS low, LEAST(l.max, r.max) AS high,
+  LEAST(1.0, (LEAST(l.max, r.max) - GREATEST(l.min, r.min) + 1) / (l.max - l.min + 1)) AS fl, LEAST(1.0, (LEAST(l.max, r.max) - GREATEST(l.min, r.min) + 1) / (r.max - r.min + 1)) AS fr FROM l, r)
+SELECT CAST(CASE WHEN low > high OR lc = 0 OR rc = 0 THEN 0 ELSE (lc * fl) * (rc * fr) / GREATEST(1.0, ld * fl, rd * fr) END AS DOUBLE) AS rows FROM inside"""
+
 ORACLE: dict[str, str] = {k: _oracle(parse(v)) for k, v in DSL.items()} | {
     "join_hint_broadcast": _oracle(parse(DSL["join_two"])),
     "join_hint_shuffle_hash": _oracle(parse(DSL["join_two"])),
@@ -204,8 +228,10 @@ ORACLE: dict[str, str] = {k: _oracle(parse(v)) for k, v in DSL.items()} | {
     "radix_max_partition": f"SELECT MAX(n) AS max_n FROM ({_HIST_SQL})",
     "radix_partition": "SELECT p_partkey, p_partkey & 255 AS bucket FROM part",
     "radix_partition2": "SELECT p_partkey, p_partkey & 255 AS bucket, (p_partkey >> 8) & 1023 AS bucket2 FROM part",
+    "radix_layout": _LAYOUT_SQL.format(255),
+    "radix_layout2": _LAYOUT_SQL.format(15),
     "value_lookup": "SELECT l_orderkey FROM lineitem WHERE l_partkey = 42",
-    "value_index": "SELECT l_partkey AS value, COUNT(*) AS n, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY l_orderkey) AS ids FROM lineitem GROUP BY 1",
+    "value_index": f"SELECT l_partkey AS value, l_orderkey // {radix.PAGE} AS page, COUNT(*) AS n, string_agg(CAST(l_orderkey AS VARCHAR), ',' ORDER BY l_orderkey) AS ids FROM lineitem GROUP BY 1, 2",
     "column_stats": _STATS_SQL,
     "sum_wrap_u64": "SELECT CAST(SUM(CAST(l_orderkey AS HUGEINT) * 900000000000000) % 18446744073709551616 AS VARCHAR) AS s0 FROM lineitem",
     "join_order_simple": _oracle(parse(DSL["join_star4"])),
@@ -213,9 +239,12 @@ ORACLE: dict[str, str] = {k: _oracle(parse(v)) for k, v in DSL.items()} | {
     "join_order_all": _oracle(parse(DSL["join_star4"])),
     "ranhash": _ranhash_sql(),
     "bit_helpers": "SELECT p_partkey, CAST(CASE WHEN p_size <= 1 THEN 1 ELSE 1 << CAST(ceil(log2(p_size)) AS INT) END AS BIGINT) AS pow2, (p_partkey >> 3) & 1 AS bit3, p_partkey & 31 AS low5 FROM part",
+    "estimate_filter": _FILTERED_SQL,
+    "estimate_join": _JOINED_SQL,
     "batch_run": _line_sql(),
     "format_line": _line_sql(),
     "cross_product": "SELECT CAST(SUM(r.r_regionkey) AS BIGINT) AS s0, CAST(SUM(n.n_regionkey) AS BIGINT) AS s1 FROM region r CROSS JOIN nation n",
     "scan_binary": _PART_SUM_SQL,
+    "scan_binary_filter": _oracle(parse("6 4|0.1=1.0&1.1>25&0.2<50|0.1 1.1")),
     "scan_tbl": _PART_SUM_SQL,
 }

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cases import partition_case, workload
 from oracle import assert_same, connect
 from quillon.functions import bits
 from quillon.functions.fmt import checksum_line, format_row, wrapping_sum
@@ -77,6 +78,8 @@ def test_u32_compatibility(spark):
 def test_wrap(spark):
     df = spark.createDataFrame([(2**63 - 1,)] * 3, "v long")
     assert df.agg(wrapping_sum(F.col("v"))).first()[0] == 3 * (2**63 - 1) % 2**64
+    wide = spark.createDataFrame([(str(2**100 + 5),), (str(3 * 2**64 + 7),)], "v string").select(F.col("v").cast("decimal(38,0)").alias("v"))
+    assert wide.agg(wrapping_sum(F.col("v"))).first()[0] == 12
     c = small(spark, a=[(2**63 - 1,), (2**63 - 1,), (7,)])
     assert query(c, "0||0.0", wrap_u64=True).first()[0] == (2 * (2**63 - 1) + 7) % 2**64
 
@@ -110,10 +113,79 @@ def test_binary_round_trip(spark, tmp_path):
     assert df.rdd.getNumPartitions() == 4
     assert sorted(map(tuple, df.collect())) == sorted(zip(a.tolist(), b.tolist(), strict=True))
     df.write.parquet(f"{tmp_path}/p")
-    assert binary.write_frame(spark.read.parquet(f"{tmp_path}/p"), f"{tmp_path}/again") == 1000
+    assert binary.write_frame(spark.read.parquet(f"{tmp_path}/p"), f"{tmp_path}/again", 300) == 1000
     assert sorted(map(tuple, binary.read(spark, f"{tmp_path}/again").collect())) == sorted(map(tuple, df.collect()))
 
 
+def test_binary_folder(spark, tmp_path):
+    """Files of few rows, a filter that reaches the reader, and only the columns asked for."""
+    binary.write_frame(spark.range(1000).select("id", (F.col("id") % 7).alias("m"), (F.col("id") * 3).alias("t")), f"{tmp_path}/f", rows_per_file=100)
+    df = binary.read(spark, f"{tmp_path}/f", rows_per_partition=64, columns=[2, 1])
+    assert df.columns == ["c2", "c1"]
+    assert df.where("c1 = 3 and c2 > 1500").agg(F.sum("c2"), F.count("*")).first() == (sum(3 * i for i in range(501, 1000) if i % 7 == 3), sum(i % 7 == 3 for i in range(501, 1000)))
+    assert binary.read(spark, f"file://{tmp_path}/f").count() == 1000
+    c = Catalog(spark)
+    c.binary("f", f"{tmp_path}/f")
+    assert "c0" not in str(c.columns(0, [1])._jdf.queryExecution().optimizedPlan())
+    assert tuple(query(c, "0|0.1=3|0.2").first()) == (sum(3 * i for i in range(1000) if i % 7 == 3),)
+    binary.write_frame(spark.range(0).select("id", F.col("id").alias("b")), f"{tmp_path}/none")
+    assert binary.read(spark, f"{tmp_path}/none").count() == 0
+    with pytest.raises(Exception, match="null in a"):
+        binary.write_frame(spark.createDataFrame([(1,), (None,)], "a long"), f"{tmp_path}/bad")
+
+
+def test_pushed_filters():
+    from pyspark.sql.datasource import EqualTo, GreaterThan, IsNotNull
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    reader = binary.U64Reader("x", StructType([StructField("c1", LongType())]), 10)
+    kept = [EqualTo(("c1",), 2**63), IsNotNull(("c1",)), GreaterThan(("c2",), 1)]
+    assert list(reader.pushFilters([GreaterThan(("c1",), 5), *kept])) == kept
+    assert reader.filters == [(GreaterThan, "c1", 5)]
+
+
+def test_schema_is_read_once(spark, sf):
+    from quillon.sources import catalog as module
+
+    first = star_catalog(spark, sf)[2]
+    known = dict(module._schemas)
+    assert star_catalog(spark, sf)[2].schema == first.schema and module._schemas == known
+
+
+def test_broadcast_hint_has_a_bound(spark, sf, monkeypatch):
+    from quillon.plans import lower
+
+    small = spark.range(5)
+    assert "ResolvedHint" in lower.hinted(small, "broadcast")._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(lower, "BROADCAST_BYTES", 1)
+    assert lower.hinted(small, "broadcast") is small
+
+
+def test_workload_file(spark, tmp_path):
+    """A workload file in, a result file out, line by line as brute force has it."""
+    rng = random.Random(11)
+    tables = [[tuple(rng.randrange(12) for _ in range(w)) for _ in range(n)] for w, n in ((2, 15), (3, 20), (1, 6))]
+    lines, want = workload(3, tables, 24)
+    (tmp_path / "small.work").write_text("\n".join(lines) + "\n")
+    c = small(spark, **{f"t{i}": rows for i, rows in enumerate(tables)})
+    for policy in ("none", "simple", "greedy"):
+        with open(tmp_path / "small.work") as asked:
+            (tmp_path / policy).write_text("\n".join(Engine(c, policy).run(asked)) + "\n")
+        assert (tmp_path / policy).read_text().splitlines() == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_partition_cases(spark, seed):
+    values, want = partition_case(seed)
+    placed = radix.clustered(spark.createDataFrame(values, "id long, v long"), "v", 3, 2, n=3)
+    rows = placed.select("bucket", "bucket2", "id", "v", F.spark_partition_id().alias("p")).collect()
+    assert sorted((r.bucket, r.bucket2, r.id, r.v) for r in rows) == want
+    for p in range(3):
+        keys = [(r.bucket, r.bucket2) for r in rows if r.p == p]
+        assert keys == sorted(keys)
+    assert len({r.bucket for r in rows}) == len({(r.bucket, r.p) for r in rows})
+
+
 def test_binary_edges(spark, tmp_path):
     binary.write(f"{tmp_path}/none", [np.array([]), np.array([])])
     assert binary.read(spark, f"{tmp_path}/none").collect() == []
@@ -170,9 +242,12 @@ def test_pow2(spark):
 
 def test_radix(spark):
     df = spark.range(1000).select((F.col("id") * 37).alias("v"), "id")
-    parts = radix.clustered(df, "v", 4, 3).select("bucket", F.spark_partition_id()).collect()
+    parts = radix.clustered(df, "v", 4, n=3).select("bucket", F.spark_partition_id()).collect()
     assert len({b: p for b, p in parts}) == 16
     assert len(set(parts)) == 16
+    pages = radix.value_index(df.select((F.col("v") % 2).alias("v"), "id"), "v", "id", page=100).collect()
+    assert max(len(r.ids) for r in pages) <= 100
+    assert sorted(i for r in pages for i in r.ids) == list(range(1000)) and all(r.ids == sorted(r.ids) and {i // 100 for i in r.ids} == {r.page} for r in pages)
     index = {r.value: r.ids for r in radix.value_index(spark.createDataFrame([(7, i) for i in range(10)] + [(8, 1)], "v long, i long"), "v", "i").collect()}
     assert index == {7: list(range(10)), 8: [1]}
     assert {r.value: r.n for r in radix.value_counts(df.select((F.col("v") % 2).alias("v")), "v").collect()} == {0: 500, 1: 500}
@@ -217,3 +292,51 @@ def test_policies():
     with pytest.raises(ValueError):
         ordering.choose("other", spec, stats)
     assert not ordering.connected(parse("0 1 2 3|0.0=1.0&2.0=3.0|0.0").joins)
+
+
+def chain(rows, spans):
+    """Aliases 0-1-2-... joined by columns 1 and 0; ``spans`` are the join columns' distinct values, uniform from 0."""
+    stats = {}
+    for a, n in enumerate(rows):
+        for column, span in ((0, spans[a - 1] if a else n), (1, spans[a] if a < len(spans) else n)):
+            stats[ColumnRef(a, column)] = ColumnStats(0, span - 1, n, min(n, span))
+    return stats
+
+
+def test_expected_orders():
+    """Hand-computed: a join of L and R rows over a key of d values in common has L * R / d rows."""
+    spec = parse("0 1 2 3|0.1=1.0&1.1=2.0&2.1=3.0|0.0")
+    a, b, c = spec.joins
+    # a: 1000 * 1000 / 10 = 100,000; b: 1000 * 10 / 1000 = 10; c: 10 * 10 / 10 = 10
+    stats = chain((1000, 1000, 10, 10), (10, 1000, 10))
+    assert [ordering.cost(spec, stats, (j,)) for j in (a, b, c)] == [100_000, 10, 10]
+    assert ordering.simple(spec, stats) == ordering.greedy(spec, stats) == (b, c, a)
+    # The cheapest first join a (1 row) leads greedy to a * b * c; no order is cheaper than its total.
+    stats = chain((1, 1000, 1000, 5), (1000, 10, 1000))
+    assert ordering.greedy(spec, stats)[0] is a
+    assert ordering.cost(spec, stats, ordering.simple(spec, stats)) <= ordering.cost(spec, stats, ordering.greedy(spec, stats))
+
+
+def test_search_is_exact():
+    from itertools import permutations
+
+    rng = random.Random(2)
+    for _ in range(25):
+        n = rng.randint(3, 6)
+        links = [f"{rng.randrange(k)}.{rng.randrange(2)}={k}.{rng.randrange(2)}" for k in range(1, n)]
+        spec = parse(f"{' '.join(map(str, range(n)))}|{'&'.join(links)}|0.0")
+        stats = {ColumnRef(a, i): ColumnStats(0, m, float(rng.randint(1, 5000)), rng.randint(1, m + 1)) for a in range(n) for i in (0, 1) for m in [rng.randint(1, 3000)]}
+        every = [ordering.cost(spec, stats, o) for o in permutations(spec.joins) if ordering.connected(o)]
+        assert ordering.cost(spec, stats, ordering.simple(spec, stats)) == pytest.approx(min(every))
+        base = ordering.filtered(spec, stats)
+        first = min(spec.joins, key=lambda j: ordering.step(base, frozenset(), 0.0, j)[2])
+        some = [ordering.cost(spec, stats, o) for o in permutations(spec.joins) if ordering.connected(o) and o[0] is first]
+        assert ordering.cost(spec, stats, ordering.greedy(spec, stats)) == pytest.approx(min(some))
+
+
+def test_long_queries_are_searched():
+    n = 12
+    spec = parse(f"{' '.join(['6'] * n)}|{'&'.join(f'0.1={k}.0' for k in range(1, n))}|0.0")
+    stats = {ColumnRef(a, i): ColumnStats(0, 999, float(100 * (a + 1)), 100) for a in range(n) for i in (0, 1)}
+    order = ordering.simple(spec, stats)
+    assert [j.right.alias for j in order] == list(range(1, n))

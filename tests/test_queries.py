@@ -26,6 +26,16 @@ def test_known_values(spark):
         assert tuple(QUERIES[name](spark, "/root/testdata/sf0.01").first()) == values, name
 
 
+@pytest.mark.parametrize("name", ["sum_wrap_u64", "estimate_filter", "estimate_join", "radix_layout2", "value_index", "join_star4"])
+def test_larger_keys(spark, name):
+    """Where sizes of keys matter, the larger tables too."""
+    assert_same(QUERIES[name](spark, "/root/testdata/sf0.1"), connect("/root/testdata/sf0.1"), ORACLE[name])
+
+
+def test_every_query_has_sql():
+    assert QUERIES.keys() == ORACLE.keys()
+
+
 def test_filter_reaches_scan(spark, sf, capsys):
     QUERIES["join_two"](spark, sf).explain("formatted")
     plan = capsys.readouterr().out
