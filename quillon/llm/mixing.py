@@ -2,13 +2,18 @@
 
 Each source's documents form one stream of words, in a hashed order of doc_id,
 cut into blocks of BLOCK words.  The mix is a sequence of block slots in output
-shards.  A slot draws its source by the target weights (a multinomial draw per
-shard); per shard and source only the counts are kept.  A source's k-th slot maps
-to a block by a pseudorandom permutation of its block numbers, pass after pass,
-and slots meet blocks in a join on (source, block).  A source draws at most its
-target: surplus draws fall away, a shortfall is filled by one more shard, and the
-last slot is cut to the words still wanted.  All hashes have fixed seeds, so
-reruns agree.
+shards.  Every shard draws how many of its slots each source gets (a multinomial
+draw by the target weights); a source's slots are numbered through the shards, its
+k-th slot maps to a block by a pseudorandom permutation of its block numbers, pass
+after pass, and slots meet blocks in a join on (source, block).  All hashes have fixed
+seeds, so reruns agree; ``seed`` gives other draws.
+
+The draws decide how many blocks a source gives, within DRIFT of its target: surplus
+draws beyond that fall away, in the last shards, and a shortfall is filled by slots
+dealt over all shards.  A source of few slots meets its target exactly; with very many
+slots draws stay far inside DRIFT by themselves.  The source's last slot is cut to the
+words over, so that taken words are within DRIFT and one block of the target.  No
+source gives more than MAX_REPEAT whole passes.
 
 Targets: the mix has ``share`` times all words; sources ordered by code point, null
 last, weigh 3, 1, 2, 3, 1, 2, ...; a target is capped at twice its source's words,
@@ -16,7 +21,9 @@ and what is over is shared by weight among the others until nothing is over.  So
 no document is taken more than twice.
 
 Defined results: null or wordless text has size 0 and is never taken.  Rows that
-repeat are documents of their own.  An empty table gives no rows.
+repeat, doc_ids that repeat and null ones are documents of their own: equal rows are
+counted first, then numbered and dealt one by one, so no key gathers them.  An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -40,6 +47,9 @@ MAX_CELLS = 65_536
 #: Cells of the unit interval by which a draw finds its source.
 DRAW_CELLS = 4_096
 ROUNDS = 12
+#: How far draws may take a source from its target, as a share of its slots.
+DRIFT = 0.005
+SEED = 1
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -88,115 +98,183 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, h, size, first)``: every document's first word in its source's stream.
+def counted(docs: DataFrame) -> DataFrame:
+    """``(doc_id, source, h, size, n)``: equal rows as one, h a hash of the text."""
+    d = docs.select("doc_id", "source", F.xxhash64("text").alias("h"), n_words(F.col("text")).alias("size"))
+    return d.groupBy("doc_id", "source", "h", "size").agg(F.count("*").alias("n"))
+
+
+#: Copies of a row, or slots of a draw, that one sequence numbers.
+RUN = 4_096
+
 
-    Documents fall into hashed cells of bounded number; a cell holds a share of every
+def numbered(classes: DataFrame) -> DataFrame:
+    """One row a copy, ``copy`` from 0: a class of many copies is cut into runs, which are dealt to all tasks."""
+    inside = lambda first, n: F.explode(F.sequence(first, F.least(first + RUN, n) - 1)).alias("copy")
+    keep = ("doc_id", "source", "h", "size")
+    few = classes.where(F.col("n") <= RUN).select(*keep, inside(F.lit(0).cast("bigint"), F.col("n")))
+    runs = classes.where(F.col("n") > RUN).select(*keep, "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(RUN).cast("bigint"))).alias("at"))
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return few.unionByName(runs.repartition(parts, "doc_id", "h", "at").select(*keep, inside(F.col("at"), F.col("n"))))
+
+
+def placed(classes: DataFrame) -> DataFrame:
+    """``(doc_id, source, h, size, first)`` of each copy with words: its first word in its source's stream.
+
+    Copies fall into hashed cells of bounded number; a cell holds a share of every
     source, so a source with most rows spreads like any other.  Words are summed
     inside cells, then cell totals are summed in cell order.
     """
-    d = docs.select("doc_id", "source", F.xxhash64("text").alias("h"), n_words(F.col("text")).alias("size"))
-    d = table(d, "mix-size")
-    cells = max(1, min(MAX_CELLS, d.count() // DOCS_PER_CELL))
-    d = d.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit("cell")), F.lit(cells)))
+    rows = classes.where("size > 0")
+    cells = max(1, min(MAX_CELLS, (rows.agg(F.sum("n")).first()[0] or 0) // DOCS_PER_CELL))
+    d = numbered(rows).withColumn("cell", F.pmod(F.xxhash64("doc_id", "h", "copy", F.lit("cell")), F.lit(cells)))
     totals = d.groupBy("cell", "source").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("cell", F.col("source").alias("s"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("cell", "source").orderBy(F.xxhash64("doc_id"), "doc_id", "size", "h").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(F.col("cell").alias("c"), F.col("source").alias("s"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("cell", "source").orderBy(F.xxhash64("doc_id", "copy"), "doc_id", "size", "h", "copy").rowsBetween(Window.unboundedPreceding, -1)
     n = int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = d.repartition(n, "cell").withColumn("first", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    d = d.join(totals.withColumnRenamed("cell", "c"), (F.col("cell") == F.col("c")) & F.col("source").eqNullSafe(F.col("s")))
+    d = d.join(totals, (F.col("cell") == F.col("c")) & F.col("source").eqNullSafe(F.col("s")))
     return d.select("doc_id", "source", "h", "size", (F.col("first") + F.col("start")).alias("first"))
 
 
-def drawn(plan: DataFrame) -> DataFrame:
-    """Block slots ``(source, block, epoch, words)`` of the mix, from rows with source, source_size, target."""
-    spark = plan.sparkSession
+def planned(plan: DataFrame) -> DataFrame:
+    """Rows with source, source_size, target, as slots: ``(source, blocks, rest, slots, low, high)``.
+
+    rest: words beyond whole passes.  low, high: how many slots the draws may leave.
+    """
     p = plan.select("source", "source_size", F.round("target").cast("bigint").alias("want")).where("want > 0")
-    p = p.withColumn("blocks", F.ceil(F.col("source_size") / BLOCK))
+    p = p.withColumn("blocks", F.ceil(F.col("source_size") / BLOCK)).withColumn("rest", F.col("want") % F.col("source_size"))
     # Whole passes first, then blocks up to the words left.
-    p = p.withColumn("rest", F.col("want") % F.col("source_size"))
     p = p.withColumn("slots", F.floor(F.col("want") / F.col("source_size")) * F.col("blocks") + F.ceil(F.col("rest") / BLOCK))
-    p = table(p, "mix-plan")
-    total = p.agg(F.sum("slots")).first()[0] or 0
-    shards = max(1, min(MAX_SHARDS, -(-total // SLOTS_PER_SHARD)))
+    drift = F.floor(F.col("slots") * DRIFT)
+    return p.select("source", "blocks", "rest", "slots", (F.col("slots") - drift).alias("low"), F.least(F.col("slots") + drift, F.col("blocks") * MAX_REPEAT).alias("high"))
 
-    # Draws: each slot's uniform number falls into one source's interval of the unit line.
+
+def draws(p: DataFrame, total: int, shards: int, seed: int) -> DataFrame:
+    """``(shard, source, n)``: the multinomial draw of every shard, in which each slot's uniform number falls into one source's interval."""
     line = Window.orderBy(F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     spans = p.select("source", "slots", F.sum("slots").over(line).alias("upto"), F.sum("slots").over(whole).alias("all"))
     spans = spans.select("source", ((F.col("upto") - F.col("slots")) / F.col("all")).alias("lo"), (F.col("upto") / F.col("all")).alias("hi"))
     spans = spans.withColumn("at", F.explode(F.sequence(F.floor(F.col("lo") * DRAW_CELLS), F.least(F.floor(F.col("hi") * DRAW_CELLS), F.lit(DRAW_CELLS - 1)))))
-    slot = spark.range(total).select(F.pmod("id", F.lit(shards)).alias("shard"), unit(F.col("id"), F.lit("slot")).alias("u"))
+    slot = p.sparkSession.range(total).select(F.pmod("id", F.lit(shards)).alias("shard"), unit(F.col("id"), F.lit("slot"), F.lit(seed)).alias("u"))
     slot = slot.withColumn("at", F.floor(F.col("u") * DRAW_CELLS))
     # At most two spans a cell and source: DRAW_CELLS rows and two a source, summed by (shard, source) at once.
-    hits = slot.join(spans, "at").where("u >= lo and u < hi")
-    counts = hits.groupBy("shard", "source").agg(F.count("*").alias("n"))
-    counts = counts.join(p.select(F.col("source").alias("s"), "slots"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    return slot.join(spans, "at").where("u >= lo and u < hi").groupBy("shard", "source").agg(F.count("*").alias("n"))
 
-    # A source's k-th slot counts through the shards; one more shard fills a shortfall, and surplus falls away.
-    fill = p.select(F.lit(shards).cast("bigint").alias("shard"), "source", F.col("slots").alias("n"), "slots")
-    counts = counts.select("shard", "source", "n", "slots").unionByName(fill)
-    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).where("start < slots")
-    each = counts.select("source", "shard", F.explode(F.sequence("start", F.least(F.col("start") + F.col("n"), "slots") - 1)).alias("k"))
 
-    q = p.select(F.col("source").alias("s"), "blocks", "rest", "slots")
-    each = each.join(q, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+def drawn(plan: DataFrame, seed: int = SEED) -> DataFrame:
+    """Block slots ``(shard, source, k, block, epoch, words)`` of the mix, from rows with source, source_size, target."""
+    p = table(planned(plan), "mix-plan")
+    total = p.agg(F.sum("slots")).first()[0] or 0
+    shards = max(1, min(MAX_SHARDS, -(-total // SLOTS_PER_SHARD)))
+    counts = table(draws(p, total, shards, seed), "mix-draws")
+
+    # A source's slots are numbered through the shards; what goes beyond its bound falls away.
+    q = p.withColumnRenamed("source", "s")
+    same = F.col("source").eqNullSafe(F.col("s"))
+    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    runs = counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).join(q, same)
+    got = counts.groupBy("source").agg(F.sum("n").alias("got")).select(F.col("source").alias("g"), "got")
+    ends = p.join(got, F.col("source").eqNullSafe(F.col("g")), "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    ends = ends.withColumn("end", F.least(F.greatest("got", "low"), "high"))
+    keep = ("shard", "source", "start", "upto", "blocks", "rest", "end")
+    runs = runs.join(ends.select(F.col("source").alias("e"), "end"), F.col("source").eqNullSafe(F.col("e"))).where("start < end")
+    runs = runs.withColumn("upto", F.least(F.col("start") + F.col("n"), "end")).select(*keep)
+    # A shortfall is filled by short runs, dealt to shards by a hash.
+    more = ends.where("got < end").withColumn("start", F.explode(F.sequence("got", F.col("end") - 1, F.lit(64).cast("bigint"))))
+    more = more.withColumn("upto", F.least(F.col("start") + 64, "end")).withColumn("shard", F.pmod(F.xxhash64("start", F.coalesce("source", F.lit("\0")), F.lit(seed)), F.lit(shards)))
+    # Dealt by run before the slots are made, so that no task makes those of many runs.
+    n = int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = runs.unionByName(more.select(*keep)).repartition(n, "source", "shard", "start")
+    each = runs.withColumn("k", F.explode(F.sequence("start", F.col("upto") - 1)))
     epoch = F.floor(F.col("k") / F.col("blocks"))
     block = permuted(F.col("k") % F.col("blocks"), F.col("blocks"), F.coalesce("source", F.lit("\0")), epoch)
-    cut = F.when((F.col("k") == F.col("slots") - 1) & (F.col("rest") % BLOCK > 0), F.col("rest") % BLOCK).otherwise(F.lit(BLOCK))
-    return each.select("source", block.alias("block"), epoch.cast("int").alias("epoch"), cut.cast("bigint").alias("words"), "shard")
+    cut = F.when((F.col("k") == F.col("end") - 1) & (F.col("rest") % BLOCK > 0), F.col("rest") % BLOCK).otherwise(F.lit(BLOCK))
+    return each.select("shard", "source", "k", block.alias("block"), epoch.cast("int").alias("epoch"), cut.cast("bigint").alias("words"))
 
 
-def taken_ranges(docs: DataFrame, share: float = SHARE) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents with their place, the plan by source, and the ranges the mix takes of each document.
+def taken_ranges(docs: DataFrame, share: float = SHARE, seed: int = SEED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of equal rows, the plan by source, and the ranges the mix takes of each document with words.
 
-    Ranges: ``(doc_id, source, h, size, first, epoch, a, b)``, words a up to b of the
-    document; one row with null range for a document the mix leaves out.
+    Ranges: ``(doc_id, source, h, size, first, shard, k, epoch, a, b)``, words a up to b of
+    the document, in slot k of its source; one row with null range for what the mix leaves out.
     """
-    d = table(placed(docs), "mix-docs")
-    plan = table(targets(d.groupBy("source").agg(F.sum("size").alias("source_size")), share=share), "mix-target")
-    slots = drawn(plan).select(F.col("source").alias("s"), F.col("block").alias("bl"), "epoch", "words")
+    classes = table(counted(docs), "mix-classes")
+    plan = table(targets(classes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share=share), "mix-target")
+    d = table(placed(classes), "mix-docs")
+    slots = drawn(plan, seed).withColumnRenamed("source", "s").withColumnRenamed("block", "bl")
     last = F.floor((F.col("first") + F.col("size") - 1) / BLOCK)
-    parts = d.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("first") / BLOCK), last))))
+    parts = d.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / BLOCK), last)))
     met = parts.join(slots, (F.col("block") == F.col("bl")) & F.col("source").eqNullSafe(F.col("s")), "left")
     begin = F.col("block") * BLOCK
     a = F.greatest(begin, "first") - F.col("first")
     b = F.when(F.col("words").isNotNull(), F.least(begin + F.col("words"), F.col("first") + F.col("size")) - F.col("first"))
-    met = met.select("doc_id", "source", "h", "size", "first", "epoch", a.alias("a"), b.alias("b"))
-    return d, plan, met
+    return classes, plan, met.select("doc_id", "source", "h", "size", "first", "shard", "k", "epoch", a.alias("a"), b.alias("b"))
 
 
-def mix(docs: DataFrame, share: float = SHARE) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every row of ``docs(doc_id, text, source)``."""
-    _, plan, met = taken_ranges(columns_of(docs, "doc_id", "text", "source"), share)
-    per = met.groupBy("doc_id", "source", "h", "size", "first", F.when(F.col("size") == 0, F.monotonically_increasing_id()).alias("r"))
-    per = per.agg(F.coalesce(F.sum(F.greatest(F.col("b") - F.col("a"), F.lit(0))), F.lit(0)).alias("taken"))
+def mix(docs: DataFrame, share: float = SHARE, seed: int = SEED) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, n_shards`` of every row of ``docs(doc_id, text, source)``.
+
+    n_shards: output shards that hold words of the document.
+    """
+    classes, plan, met = taken_ranges(columns_of(docs, "doc_id", "text", "source"), share, seed)
+    words = F.greatest(F.col("b") - F.col("a"), F.lit(0))
+    per = met.groupBy("doc_id", "source", "h", "size", "first").agg(F.coalesce(F.sum(words), F.lit(0)).alias("taken"), F.size(F.collect_set(F.when(words > 0, F.col("shard")))).cast("bigint").alias("n_shards"))
+    none = numbered(classes.where("size = 0")).select("doc_id", "source", "size", F.lit(0).cast("bigint").alias("taken"), F.lit(0).cast("bigint").alias("n_shards"))
     plan = plan.select(F.col("source").alias("s"), "source_size", "target")
-    out = per.join(plan, F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    out = per.select("doc_id", "source", "size", "taken", "n_shards").unionByName(none).join(plan, F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "n_shards")
+
+
+#: White space before a text's first word, and the places between a word's white space and the next word.
+_LEAD, _BETWEEN = r"^[\x20\x09-\x0D]+", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])"
+
+
+def pieces(text: Column) -> Column:
+    """The words of a text, each with the white space after it."""
+    return F.split(F.regexp_replace(text, _LEAD, ""), _BETWEEN)
 
 
-def mixed_documents(docs: DataFrame, share: float = SHARE) -> DataFrame:
+def _with_text(docs: DataFrame, met: DataFrame) -> DataFrame:
+    """``met`` rows, whose keys are named d, s, th, beside the columns of one copy of their document."""
+    rows = docs.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_h"])
+    return rows.join(met, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_h") == F.col("th")) & F.col("source").eqNullSafe(F.col("s")))
+
+
+def mixed_blocks(docs: DataFrame, share: float = SHARE, seed: int = SEED) -> DataFrame:
+    """The mix itself: ``(shard, source, k, epoch, n_words, text)``, the packed text of every slot of every output shard.
+
+    A slot holds the words of its block, document after document, a newline after each
+    document's part; rows of a shard lie in no order, ``k`` numbers a source's slots.
+    """
+    base = columns_of(docs, "doc_id", "text", "source")
+    _, _, met = taken_ranges(base, share, seed)
+    keep = ("shard", "k", "epoch", "first", "a", "b")
+    met = met.where("b > a").select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("h").alias("th"), *keep)
+    # One row a document, so that its text is cut into words once for all its slots.
+    met = met.groupBy("d", "s", "th").agg(F.collect_list(F.struct(*keep)).alias("parts"))
+    cut = lambda ps: F.transform("parts", lambda r: F.struct(*(r[c].alias(c) for c in keep), F.rtrim(F.array_join(F.slice(ps, (r["a"] + 1).cast("int"), (r["b"] - r["a"]).cast("int")), "")).alias("text")))
+    each = _with_text(base, met).select("source", F.explode(let(pieces(F.col("text")), cut)).alias("x")).select("source", "x.*")
+    slot = each.groupBy("shard", "source", "k", "epoch").agg(F.sum(F.col("b") - F.col("a")).alias("n_words"), F.array_sort(F.collect_list(F.struct("first", "text"))).alias("texts"))
+    return slot.select("shard", "source", "k", "epoch", "n_words", F.array_join(F.transform("texts", lambda t: t["text"]), "\n").alias("text"))
+
+
+def mixed_documents(docs: DataFrame, share: float = SHARE, seed: int = SEED) -> DataFrame:
     """The mix as rows of ``docs``: a document once for each pass that takes words of it, cut to those words.
 
     The words taken keep the white space that follows them; ``n_chars`` is counted
     anew where the input has it.  Rows with equal doc_id and text share one copy of
     the text here; each is still taken on its own.
     """
-    base = columns_of(docs, "doc_id", "text", "source")
-    _, _, met = taken_ranges(base, share)
+    _, _, met = taken_ranges(columns_of(docs, "doc_id", "text", "source"), share, seed)
     met = met.where("b > a")
     per = met.groupBy("doc_id", "source", "h", "size", "first", "epoch").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("ranges"), F.sum(F.col("b") - F.col("a")).alias("n"))
     per = per.select(F.col("doc_id").alias("d"), F.col("source").alias("s"), F.col("h").alias("th"), "size", "ranges", "n")
-    rows = docs.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "_h"])
-    met = rows.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_h") == F.col("th")) & F.col("source").eqNullSafe(F.col("s")))
-    # A piece is a word and the white space after it; white space before the first word is no piece of its own.
-    pieces = F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")
     cut = lambda ps: F.flatten(F.transform("ranges", lambda r: F.slice(ps, (r["a"] + 1).cast("int"), (r["b"] - r["a"]).cast("int"))))
     whole = F.col("n") == F.col("size")
-    out = met.withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(let(pieces, cut), "")))
+    out = _with_text(docs, per).withColumn("text", F.when(whole, F.col("text")).otherwise(F.array_join(let(pieces(F.col("text")), cut), "")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
