@@ -91,11 +91,13 @@ def _line_sql() -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder name that all executors see: below spark.checkpoint.dir, or a local one where none is set."""
+    """A fresh folder name that all executors see: below spark.checkpoint.dir, or a local one where none is set and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         import tempfile
 
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quillon-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
