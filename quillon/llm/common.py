@@ -8,6 +8,8 @@ import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -20,19 +22,44 @@ WORD_BYTES = b" \t\n\v\f\r"
 
 
 def shared_base(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a local one only where none is set."""
+    """The folder in spark.checkpoint.dir, which all executors share; a local one where none is set and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        base = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+    if base is not None:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if not context._jsc.sc().isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not hasattr(context, "_quillon_base"):
+        context._quillon_base = f"file://{tempfile.mkdtemp(prefix='quillon-')}"
+    return context._quillon_base
+
+
+#: Rows sent to a Python worker at once while a table is written, which bounds what it holds of whole texts.
+BATCH_ROWS = 1_000
+
+#: In force while a table is written: its job's shuffle files go when it ends, for nothing reads them again.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS)}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while; the caller's own come back."""
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def table(df: DataFrame, like: str = "t") -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends here, a lost executor costs nothing before it."""
     spark = df.sparkSession
     path = f"{shared_base(spark)}/quillon/{like}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with settings(spark, _WRITING):
+        df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
@@ -42,13 +69,11 @@ def table(df: DataFrame, like: str = "t") -> DataFrame:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more, and lets Spark drop shuffle files without a user."""
-    gc.collect()
+    """Deletes written tables that nothing reads any more."""
     for t in tables:
         context = t.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(t.quillon_path)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-        context._jvm.System.gc()
 
 
 def let(value: Column, body) -> Column:
@@ -56,15 +81,9 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-#: Rows sent to a Python worker at once, which bounds what it holds of whole texts.
-BATCH_ROWS = 1_000
-
-
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once a context, and bounds their batches."""
+    """Sends this package to the executors' Python workers, once a context."""
     context = spark.sparkContext
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(context, "_quillon_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent

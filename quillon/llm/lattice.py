@@ -6,6 +6,12 @@ lattice.  A vector's cells of a table are that code and the codes with one block
 moved to its second nearest point.  Vectors that share any cell of any table are
 compared; those with cosine >= THRESHOLD in double precision link.
 
+The number of tables, blocks and the scale are fitted to the number of vectors and
+their length: pairs of unit vectors at the threshold, and unrelated ones, are simulated,
+and of the settings that find a pair at the threshold with a chance of 1 - MISS the one
+with the least sum of cells and unrelated partners a vector is taken.  So partners do
+not grow with the number of vectors; cells do, by about its power 0.15.
+
 Equal directions are collapsed first and counted with their number.  Inside a
 cell, comparison is one matrix product per block pair: a cell of more than
 CELL_BLOCK vectors is cut into hashed blocks, whose pairs go to different tasks.
@@ -13,17 +19,19 @@ A pair that shares several cells is counted in the one with the least key only,
 counts per vector and a spanning forest per block pair are all that leaves a
 task, never the pairs.
 
-Recall: chance of a shared cell is at least 0.27 a table at cosine 0.9 and 0.72 at
-0.98 (by simulation), hence over 0.95 and nearly 1 with the default tables.
-
 Defined results: a vector that is null, empty, zero or holds null or non-finite
 components links with nothing and is its own component.  Vectors of different
-length never link.  Rows are vectors of their own, also where vec_id repeats.
+length never link.  Rows are vectors of their own, also where vec_id repeats; of a
+null vec_id component_id and kept are null unless it links with a vector that has one;
+kept is then false.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,24 +41,35 @@ from pyspark.sql import functions as F
 from quillon.llm.common import columns_of, components, ship, table
 
 THRESHOLD = 0.9
-TABLES = 12
-BLOCKS = 3
-SCALE = 2.8  # of a 64-dimensional unit vector, in lattice units
+#: Chance by which a pair exactly at the threshold may be missed, in simulation.
+MISS = 0.01
+#: What the fit chooses among: blocks a table, and the scale of a 64-dimensional unit vector in lattice units.
+MAX_BLOCKS = 8
+SCALES = (2.4, 2.8, 3.2, 3.6, 4.0, 4.4, 4.8)
+SIMULATED = 8_192
+#: Vector lengths that get a setting of their own; further ones, the rarest, take that of the most frequent.
+MAX_LENGTHS = 256
 SEED = 20240611
 CELL_BLOCK = 384
 
 _projections: dict[tuple, np.ndarray] = {}
 
 
-def projection(dim: int, tables: int, blocks: int) -> np.ndarray:
+class Setting(NamedTuple):
+    tables: int
+    blocks: int
+    scale: float
+
+
+def projection(dim: int, setting: Setting) -> np.ndarray:
     """``dim x (tables * blocks * 8)``; each table's columns are orthogonal where the dimension allows."""
-    key = (dim, tables, blocks)
+    key, (tables, blocks, scale) = (dim, setting), setting
     if key not in _projections:
         parts = []
         for t in range(tables):
             g = np.random.Generator(np.random.PCG64([SEED, dim, t])).normal(size=(dim, 8 * blocks))
             parts.append(np.linalg.qr(g)[0] if dim >= 8 * blocks else g / np.linalg.norm(g, axis=0))
-        _projections[key] = np.concatenate(parts, axis=1) * (SCALE * np.sqrt(dim / 64))
+        _projections[key] = np.concatenate(parts, axis=1) * (scale * np.sqrt(dim / 64))
     return _projections[key]
 
 
@@ -97,9 +116,10 @@ def _point_hash(points: np.ndarray, salt: int) -> np.ndarray:
     return h
 
 
-def cells(x: np.ndarray, tables: int = TABLES, blocks: int = BLOCKS) -> np.ndarray:
+def cells(x: np.ndarray, setting: Setting) -> np.ndarray:
     """Cell keys of unit vectors ``x``: ``tables * (1 + blocks)`` a row."""
-    z = x @ projection(x.shape[1], tables, blocks)
+    tables, blocks, _ = setting
+    z = x @ projection(x.shape[1], setting)
     out = []
     for t in range(tables):
         home, probe = [], []
@@ -117,6 +137,42 @@ def cells(x: np.ndarray, tables: int = TABLES, blocks: int = BLOCKS) -> np.ndarr
     return np.stack(out, axis=1).view(np.int64)
 
 
+@cache
+def _agreement(dim: int, threshold: float, scale: float) -> tuple[tuple[float, float, float], ...]:
+    """For a pair at the threshold and an unrelated one: the chances that in a block near = near, near = second, second = second."""
+    rng = np.random.Generator(np.random.PCG64([SEED, dim]))
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    u, v, g = (unit(rng.normal(size=(SIMULATED, dim))) for _ in range(3))
+    g = unit(g - (g * u).sum(1, keepdims=True) * u)
+    p = rng.normal(size=(dim, 16))
+    p = (np.linalg.qr(p)[0] if dim >= 16 else p / np.linalg.norm(p, axis=0)) * (scale * np.sqrt(dim / 64))
+    out = []
+    for other in (threshold * u + np.sqrt(max(0.0, 1 - threshold**2)) * g, v):
+        shares = []
+        for at in (0, 8):
+            (n1, s1), (n2, s2) = (e8_points((x @ p)[:, at : at + 8]) for x in (u, other))
+            same = lambda x, y: float((x == y).all(1).mean())
+            shares.append((same(n1, n2), (same(n1, s2) + same(s1, n2)) / 2, same(s1, s2)))
+        out.append(tuple(np.mean(shares, axis=0).tolist()))
+    return tuple(out)
+
+
+def fitted(n: int, dim: int, threshold: float = THRESHOLD) -> Setting:
+    """The setting for ``n`` vectors of one length."""
+    best, least = None, math.inf
+    for scale in SCALES:
+        (a, b, _), (far_a, far_b, far_c) = _agreement(dim, threshold, scale)
+        far_a = max(far_a, 1 / SIMULATED)
+        for blocks in range(1, MAX_BLOCKS + 1):
+            # Home meets home, home meets a moved block, two cells moved in different blocks; unrelated ones also by the same moved block.
+            chance = a**blocks + 2 * blocks * a ** (blocks - 1) * b + blocks * (blocks - 1) * a ** max(blocks - 2, 0) * b * b
+            unrelated = far_a**blocks + 2 * blocks * far_a ** (blocks - 1) * far_b + blocks * far_a ** (blocks - 1) * far_c + blocks * (blocks - 1) * far_a ** max(blocks - 2, 0) * far_b**2
+            tables = max(2, math.ceil(math.log(MISS) / math.log(max(1 - chance, 1e-9))))
+            if (cost := tables * (1 + blocks) + tables * unrelated * n) < least:
+                best, least = Setting(tables, blocks, scale), cost
+    return best
+
+
 def unit_rows(vectors: list) -> tuple[np.ndarray, list]:
     """Which vectors can link, and their unit form in double precision."""
     ok, units = np.zeros(len(vectors), bool), [None] * len(vectors)
@@ -145,14 +201,14 @@ def _units(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "vec_id long, unit binary")
 
 
-def _cell_rows(classes: DataFrame, tables: int, blocks: int) -> DataFrame:
+def _cell_rows(classes: DataFrame, settings: dict[int, Setting]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(1).to_pylist()
             keys: list = [None] * len(raw)
             for size in {len(r) for r in raw}:
                 at = [k for k, r in enumerate(raw) if len(r) == size]
-                found = cells(np.frombuffer(b"".join(raw[k] for k in at), np.float64).reshape(len(at), -1), tables, blocks)
+                found = cells(np.frombuffer(b"".join(raw[k] for k in at), np.float64).reshape(len(at), -1), settings.get(size // 8, settings[0]))
                 for k, f in zip(at, found, strict=True):
                     keys[k] = np.unique(f)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["cid", "keys"])
@@ -160,7 +216,7 @@ def _cell_rows(classes: DataFrame, tables: int, blocks: int) -> DataFrame:
     return classes.select("cid", "unit").mapInArrow(run, "cid long, keys array<long>")
 
 
-def _within(rows: DataFrame, threshold: float, tables: int, blocks: int) -> DataFrame:
+def _within(rows: DataFrame, threshold: float, settings: dict[int, Setting]) -> DataFrame:
     """Rows ``(cid, links, root)`` from rows sorted by ``key, i, j, side``: links counted here, and a node linked here."""
 
     def compare(key, left, right, same, known):
@@ -179,7 +235,7 @@ def _within(rows: DataFrame, threshold: float, tables: int, blocks: int) -> Data
         def earlier(part, at, x):
             missing = [k for k in at if part["cid"][k] not in known]
             if missing:
-                for k, f in zip(missing, cells(x[missing], tables, blocks), strict=True):
+                for k, f in zip(missing, cells(x[missing], settings.get(x.shape[1], settings[0])), strict=True):
                     known[part["cid"][k]] = np.unique(f)
             found: dict[int, list[int]] = {}
             for k in at:
@@ -255,12 +311,10 @@ def _within(rows: DataFrame, threshold: float, tables: int, blocks: int) -> Data
     return rows.mapInArrow(run, "cid long, links long, root long")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, setting: Setting | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` of every row of ``vectors(vec_id, embedding)``.
 
-    tables, blocks: more tables raise recall; one more block for about every
-    thirtyfold number of vectors keeps cells as small as they are here, at the
-    price of about twice the tables.
+    setting: in place of the fitted one.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -269,7 +323,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     classes = rows.where("unit is not null").groupBy("unit").agg(F.count("*").alias("n"), F.min("vec_id").alias("low"))
     # Class numbers are arbitrary; the table fixes them.
     classes = table(classes.withColumn("cid", F.monotonically_increasing_id()), "e8-classes")
-    keyed = table(_cell_rows(classes, tables, blocks), "e8-keys")
+    lengths = classes.groupBy((F.octet_length("unit") / 8).cast("int").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(MAX_LENGTHS).collect()
+    settings = {r["dim"]: setting or fitted(r["count"], r["dim"], threshold) for r in lengths}
+    settings[0] = next(iter(settings.values()), setting or fitted(0, 64, threshold))
+    keyed = table(_cell_rows(classes, settings), "e8-keys")
     each = keyed.select(F.explode("keys").alias("key"), "cid")
     sizes = table(each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "e8-cells")
     members = each.join(sizes, "key").join(classes.select("cid", "n", "unit"), "cid")
@@ -280,7 +337,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     placed = members.select("key", "cid", "n", "unit", pair.alias("p")).select("key", "p.i", "p.j", "p.side", "cid", "n", "unit")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = placed.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "cid")
-    found = table(_within(placed, threshold, tables, blocks), "e8-links")
+    found = table(_within(placed, threshold, settings), "e8-links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     comp = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")), "e8-cc").select(F.col("node").alias("cid"), "comp")
     own = classes.join(links, "cid", "left").join(comp, "cid", "left").select("unit", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "low", F.coalesce("comp", "cid").alias("comp"))
@@ -289,7 +346,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     own = table(own.join(least, "comp").select("unit", "n_links", "component_id"), "e8-own")
     out = rows.join(own, "unit", "left")
     component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.when(component.isNotNull(), F.col("vec_id").eqNullSafe(component)).alias("kept"))
 
 
 def op6_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
