@@ -10,9 +10,14 @@ Text is lower-cased, everything but letters becomes one separator between words.
 A document is parsed whole, in blocks of ``BLOCK`` symbols; a phrase ends with
 its block.  All blocks of a batch advance together, one symbol a step, in numpy.
 
+Every label that has text is learned, with every letter of it.  An automaton is held
+as sparse rows laid over one another in one array, about a megabyte a language; the
+time of a prediction follows the number of languages.
+
 Defined results: ``und`` with score 0 for null text, text without a letter, and
 where nothing could be learned.  Ties go to the language first in order of name.
-Repeated rows, extra columns and null languages do no harm.
+held_out is null for a null doc_id; such rows are not learned from.  Repeated rows,
+extra columns and null languages do no harm.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import columns_of, release, ship
@@ -34,10 +39,9 @@ UND = "und"
 SAMPLE_DOCS = 48  # documents a language
 SAMPLE_CHARS = 32_768  # characters a language, after normalisation
 SAMPLE_CHARS_DOC = 4_096  # characters of one document
-MAX_LANGS = 64
-MAX_LETTERS = 126
 BLOCK = 1_024
-DEAD = np.uint32(1 << 31)
+#: Places a row is tried at before the search for the next ones moves on.
+TRIES = 8
 
 
 def held_out(doc_id: Column) -> Column:
@@ -78,41 +82,71 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return follow
 
 
+@dataclass
+class Automaton:
+    """State s goes on with symbol x to the low half of ``rows[base[s] + x]`` if its high half is s; else a phrase begins, at ``start[x]``."""
+
+    base: np.ndarray
+    rows: np.ndarray
+    start: np.ndarray
+
+
+def compact(follow: list[dict[str, int]], symbol: dict[str, int]) -> Automaton:
+    """Rows of transitions, the longest first, each laid where its places are free."""
+    n = max(symbol.values()) + 1
+    start = np.zeros(n, np.int32)  # an unknown symbol is a phrase of its own
+    for c, to in follow[0].items():
+        start[symbol[c]] = to
+    rows = [sorted((symbol[c], to) for c, to in out.items()) if state else [] for state, out in enumerate(follow)]
+    room = sum(map(len, rows)) + 2 * n
+    used = bytearray(2 * room)
+    base = np.zeros(len(rows), np.int32)
+    at = {}
+    low = after = n  # places are n or more, so that no base is negative
+    for state in sorted(range(len(rows)), key=lambda s: -len(rows[s])):
+        row = rows[state]
+        if not row:
+            break
+        first = row[0][0]
+        if len(row) == 1:
+            place = low = used.index(0, low)
+        else:
+            place, tries = used.index(0, after), 0
+            while any(used[place - first + x] for x, _ in row[1:]):
+                place, tries = used.index(0, place + 1), tries + 1
+            if tries > TRIES:  # leave the crowded part to rows of one transition
+                after = place
+        base[state] = place - first
+        for x, to in row:
+            where = place - first + x
+            if where + n >= len(used):
+                used.extend(bytes(room))
+            used[where] = 1
+            at[where] = (state, to)
+    packed = np.full(max([n, *at, *(base + 0).tolist()]) + n + 1, -1, np.int64)
+    for where, (state, to) in at.items():
+        packed[where] = state << 32 | to
+    return Automaton(base, packed, start)
+
+
 @dataclass
 class Model:
     langs: list[str]
     codes: np.ndarray  # code point -> symbol; 0 unknown letter, 1 separator
-    tables: list[np.ndarray]  # state * symbols + symbol -> (next state * symbols) | DEAD where a phrase begins
-    n_symbols: int
+    automata: list[Automaton]
     bits: list[float]  # log2 of the sample's size
 
 
 def fit(samples: dict[str, str]) -> Model:
     langs = sorted(samples)
     counts = Counter(c for s in samples.values() for c in s if c != " ")
-    letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:MAX_LETTERS]]
-    symbol = {" ": 1} | {c: i for i, c in enumerate(letters, 2)}
-    n = len(letters) + 2
-    codes = np.ones(0x110000, np.uint8)
-    for point in range(0x30000):  # planes that hold letters
+    symbol = {" ": 1} | {c: i for i, (c, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0])), 2)}
+    codes = np.ones(0x110000, np.int32)
+    for point in range(0x110000):
         c = chr(point)
         if c.isalpha():
-            low = c.lower()
-            codes[point] = symbol.get(low[0], 0)
-    tables = []
-    for lang in langs:
-        follow = suffix_automaton(samples[lang])
-        root = np.full(n, DEAD, np.uint32)  # an unknown symbol is a phrase of its own
-        for c, to in follow[0].items():
-            if c in symbol:
-                root[symbol[c]] = DEAD | np.uint32(to * n)
-        t = np.tile(root, (len(follow), 1))
-        for state, out in enumerate(follow):
-            for c, to in out.items():
-                if state and c in symbol:
-                    t[state, symbol[c]] = to * n
-        tables.append(t.ravel())
-    return Model(langs, codes, tables, n, [math.log2(len(samples[x]) + 1) for x in langs])
+            codes[point] = symbol.get(c.lower()[0], 0)
+    return Model(langs, codes, [compact(suffix_automaton(samples[x]), symbol) for x in langs], [math.log2(len(samples[x]) + 1) for x in langs])
 
 
 def symbols_of(text: str, codes: np.ndarray) -> np.ndarray:
@@ -138,25 +172,27 @@ def phrases(model: Model, docs: list[np.ndarray]) -> np.ndarray:
     lengths = np.array([len(b) for b in blocks])
     order = np.argsort(-lengths, kind="stable")
     lengths = lengths[order]
-    grid = np.zeros((int(lengths[0]), len(blocks)), np.uint32)
+    grid = np.zeros((int(lengths[0]), len(blocks)), np.int32)
     for lane, k in enumerate(order):
         grid[: lengths[lane], lane] = blocks[k]
     alive = np.searchsorted(-lengths, -np.arange(len(grid)), side="left")  # lanes with a symbol at this step
     owner = np.array([starts[k][0] for k in order])
-    for lang, t in enumerate(model.tables):
-        state = np.zeros(len(blocks), np.uint32)
-        count = np.zeros(len(blocks), np.uint32)
+    for lang, t in enumerate(model.automata):
+        state = np.zeros(len(blocks), np.int64)
+        count = np.zeros(len(blocks), np.int64)
         for step in range(len(grid)):
             k = alive[step]
-            x = t[state[:k] + grid[step, :k]]
-            count[:k] += x >> 31
-            state[:k] = x & ~DEAD
+            x = grid[step, :k]
+            met = t.rows[t.base[state[:k]] + x]
+            begun = met >> 32 != state[:k]
+            count[:k] += begun
+            state[:k] = np.where(begun, t.start[x], met & 0xFFFFFFFF)
         np.add.at(out[:, lang], owner, count)
     return out
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    docs = [symbols_of(t, model.codes) if t else np.zeros(0, np.uint8) for t in texts]
+    docs = [symbols_of(t, model.codes) if t else np.zeros(0, np.int32) for t in texts]
     counts = phrases(model, docs)
     langs, scores = [], []
     for d, s in enumerate(docs):
@@ -176,21 +212,20 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
 def training_samples(docs: DataFrame) -> dict[str, str]:
     """Bounded labelled text of each language; held-out rows are never read.
 
-    Rows per language are counted first, so that the hash threshold alone keeps a
-    few times SAMPLE_DOCS rows of any language before they are ranked.
+    doc_ids are counted first, so that a hash threshold keeps a few times SAMPLE_DOCS of
+    any language before they are ranked; rows of one doc_id count as one.  At most
+    4 * SAMPLE_DOCS pieces of SAMPLE_CHARS_DOC characters a language reach the driver.
     """
-    d = columns_of(docs, "doc_id", "lang", "text").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    counted = d.where(F.col("lang") != UND).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counted:
-        return {}
-    h = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    share = F.create_map(*(F.lit(x) for r in counted for x in (r["lang"], int(min(1.0, 4 * SAMPLE_DOCS / r["count"]) * (1 << 40)))))
-    picked = d.withColumn("h", h).where(F.col("h") < F.coalesce(share[F.col("lang")], F.lit(0)))
-    rows = picked.select("lang", "h", "doc_id", F.substring("text", 1, SAMPLE_CHARS_DOC).alias("text")).where("text is not null").collect()
+    d = columns_of(docs, "doc_id", "lang", "text").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("lang") != UND) & F.col("text").isNotNull())
+    counted = d.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
+    limit = F.least(F.lit(1.0), F.lit(4.0 * SAMPLE_DOCS) / F.col("n")) * (1 << 40)
+    picked = d.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).join(counted, "lang").where(F.col("h") <= limit)
+    picked = picked.groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_CHARS_DOC)).alias("text"))
+    picked = picked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= 4 * SAMPLE_DOCS)
     out: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"])):
+    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["rank"])):
         out.setdefault(r["lang"], []).append(letters_only(r["text"]))
-    joined = {k: " ".join(x for x in v[: 4 * SAMPLE_DOCS] if x)[:SAMPLE_CHARS].strip() for k, v in out.items()}
+    joined = {k: " ".join(x for x in v if x)[:SAMPLE_CHARS].strip() for k, v in out.items()}
     return {k: v for k, v in joined.items() if v}
 
 
