@@ -20,7 +20,11 @@ Hot runs: the aggregates combine map-side; the joins with first occurrences are
 many on plain exchanges, which adaptive execution splits.  No pairs of later
 occurrences are made, and a first text is asked for at most two contexts a word.
 
-Defined results: null text stays null, text without a word stays as it is.  A
+What stays: runs of under GRAM words, a parameter; those of GRAM to GRAM + WINDOW - 2
+words if no fingerprint falls into them; and, where a part of a run stands alone in an
+earlier text, up to GRAM + WINDOW words beside that part.  README has the shares.
+
+Defined results: a null doc_id comes first in the order.  Null text stays null, text without a word stays as it is.  A
 document that loses all its words has the empty text and ``kept`` false.  Rows
 with the same doc_id and text are one document: they get the same result.
 """
