@@ -216,99 +216,154 @@ def _cell_rows(classes: DataFrame, settings: dict[int, Setting]) -> DataFrame:
     return classes.select("cid", "unit").mapInArrow(run, "cid long, keys array<long>")
 
 
-def _within(rows: DataFrame, threshold: float, settings: dict[int, Setting]) -> DataFrame:
-    """Rows ``(cid, links, root)`` from rows sorted by ``key, i, j, side``: links counted here, and a node linked here."""
-
-    def compare(key, left, right, same, known):
-        a = np.frombuffer(b"".join(left["unit"]), np.float64).reshape(len(left["cid"]), -1)
-        b = a if same else np.frombuffer(b"".join(right["unit"]), np.float64).reshape(len(right["cid"]), -1)
-        if a.shape[1] != b.shape[1]:
-            return None
-        linked = a @ b.T >= threshold
+#: Members up to which a cell's pairs are listed and compared together with those of other cells.
+SMALL_CELL = 16
+#: Rows gathered before they are compared, and listed pairs whose vectors are multiplied at once.
+GATHERED = 16_384
+PAIRS = 32_768
+
+_LAST = np.iinfo(np.int64).max
+
+
+def _forest(ids1: np.ndarray, ids2: np.ndarray, linked: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For the rows and columns of a block of links, the least id that they are linked with by steps inside the block."""
+    label1, label2 = ids1.copy(), ids2.copy()
+    while True:
+        new1 = np.minimum(label1, np.where(linked, label2[None, :], _LAST).min(1))
+        new2 = new1 if same else np.minimum(label2, np.where(linked, new1[:, None], _LAST).min(0))
+        done = (new1 == label1).all() and (new2 == label2).all()
+        label1, label2 = new1, new2
+        if done:
+            return label1, label2
+
+
+class _Rows:
+    """Gathered rows of whole groups, as columns, vectors by length."""
+
+    def __init__(self, columns: dict[str, list], settings: dict[int, Setting]) -> None:
+        self.settings = settings
+        self.key, self.i, self.j, self.side, self.cid, self.n = (np.array(columns[c], np.int64) for c in ("key", "i", "j", "side", "cid", "n"))
+        length = np.array([len(u) // 8 for u in columns["unit"]])
+        self.length, self.at, self.units = length, np.zeros(len(length), np.int64), {}
+        for dim in np.unique(length).tolist():
+            rows = np.flatnonzero(length == dim)
+            self.at[rows] = np.arange(len(rows))
+            self.units[dim] = np.frombuffer(b"".join(columns["unit"][r] for r in rows), np.float64).reshape(len(rows), dim)
+
+    def unit(self, rows: np.ndarray) -> np.ndarray:
+        return self.units[int(self.length[rows[0]])][self.at[rows]]
+
+    def keys(self, rows: np.ndarray) -> np.ndarray:
+        """Cell keys of rows of one length, as (rows, tables, 1 + blocks); made once for each vector and at once for all asked."""
+        ids, first, back = np.unique(self.cid[rows], return_index=True, return_inverse=True)
+        dim = int(self.length[rows[0]])
+        setting = self.settings.get(dim, self.settings[0])
+        return cells(self.unit(rows[first]), setting).reshape(len(ids), setting.tables, -1)[back]
+
+    def listed(self, threshold: float, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Links inside small groups, each in the least of its cells: ``(cid, links, root)``, two rows a link."""
+        rows = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends, strict=True)])
+        until = np.repeat(ends, ends - starts)
+        x, y = [], []
+        for gap in range(1, SMALL_CELL):
+            one = rows[rows + gap < until]
+            one = one[self.length[one] == self.length[one + gap]]
+            x.append(one)
+            y.append(one + gap)
+        x, y = np.concatenate(x), np.concatenate(y)
+        for dim in np.unique(self.length[x]).tolist():
+            of = np.flatnonzero(self.length[x] == dim)
+            for a in range(0, len(of), PAIRS):
+                p, q = x[of[a : a + PAIRS]], y[of[a : a + PAIRS]]
+                hit = np.einsum("ij,ij->i", self.unit(p), self.unit(q)) >= threshold
+                p, q = p[hit], q[hit]
+                if not len(p):
+                    continue
+                known = self.keys(np.concatenate([p, q]))
+                for b in range(0, len(p), 1_024):
+                    k1, k2 = known[b : b + 1_024][: len(p) - b], known[len(p) + b : len(p) + b + 1_024]
+                    least = np.where(k1[:, :, :, None] == k2[:, :, None, :], k1[:, :, :, None], _LAST).reshape(len(k2), -1).min(1)
+                    here = least == self.key[p[b : b + 1_024]]
+                    c, d = p[b : b + 1_024][here], q[b : b + 1_024][here]
+                    low = np.minimum(self.cid[c], self.cid[d])
+                    yield np.concatenate([self.cid[c], self.cid[d]]), np.concatenate([self.n[d], self.n[c]]), np.concatenate([low, low])
+
+    def block(self, threshold: float, left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Links between two blocks of a cell, or inside one, as ``(cid, links, root)``."""
+        same = left is right
+        if not len(left) or not len(right) or self.length[left[0]] != self.length[right[0]]:
+            return
+        key = self.key[left[0]]
+        linked = self.unit(left) @ self.unit(right).T >= threshold
         if same:
             np.fill_diagonal(linked, False)
         if not linked.any():
-            return None
+            return
         # Pairs that also share a cell with a lesser key are counted there.
-        rows_, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-
-        def earlier(part, at, x):
-            missing = [k for k in at if part["cid"][k] not in known]
-            if missing:
-                for k, f in zip(missing, cells(x[missing], settings.get(x.shape[1], settings[0])), strict=True):
-                    known[part["cid"][k]] = np.unique(f)
-            found: dict[int, list[int]] = {}
-            for k in at:
-                keys = known[part["cid"][k]]
-                for e in keys[: np.searchsorted(keys, key)].tolist():
-                    found.setdefault(e, []).append(k)
-            return found
-
-        one = earlier(left, rows_, a)
-        two = one if same else earlier(right, cols, b)
-        for e, ks in one.items():
+        one, two = (self._earlier(rows, linked.any(axis), key) for rows, axis in ((left, 1), (right, 0)))
+        for e, at in one.items():
             if e in two:
-                linked[np.ix_(ks, two[e])] = False
+                linked[np.ix_(at, two[e])] = False
         if not linked.any():
-            return None
-        # A spanning forest by least labels.
-        ids1, ids2 = np.array(left["cid"]), np.array(right["cid"])
-        big = np.iinfo(np.int64).max
-        label1, label2 = ids1.copy(), ids2.copy()
-        while True:
-            new1 = np.minimum(label1, np.where(linked, label2[None, :], big).min(1))
-            if same:
-                done, label1, label2 = (new1 == label1).all(), new1, new1
-            else:
-                new2 = np.minimum(label2, np.where(linked, new1[:, None], big).min(0))
-                done = (new1 == label1).all() and (new2 == label2).all()
-                label1, label2 = new1, new2
-            if done:
-                break
-        w1, w2 = np.array(left["n"]), np.array(right["n"])
-        out = [(ids1, (linked * w2[None, :]).sum(1), label1)]
+            return
+        root1, root2 = _forest(self.cid[left], self.cid[right], linked, same)
+        yield self.cid[left], (linked * self.n[right][None, :]).sum(1), root1
         if not same:
-            out.append((ids2, (linked * w1[:, None]).sum(0), label2))
-        return out
+            yield self.cid[right], (linked * self.n[left][:, None]).sum(0), root2
+
+    def _earlier(self, rows: np.ndarray, some: np.ndarray, key: int) -> dict[int, np.ndarray]:
+        """Places, among ``some`` of the rows, that have each key less than ``key``."""
+        at = np.flatnonzero(some)
+        keys = self.keys(rows[at]).reshape(len(at), -1)
+        which, column = np.nonzero(keys < key)
+        values = keys[which, column]
+        order = np.lexsort((which, values))
+        values, which = values[order], at[which[order]]
+        cuts = np.flatnonzero(values[1:] != values[:-1]) + 1
+        return {int(v): np.unique(w) for v, w in zip(values[np.concatenate([[0], cuts])] if len(values) else (), np.split(which, cuts), strict=False)}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        group, now = None, None
-        pending: list = []
-
-        def close():
-            if group is None or len(group["cid"]) < 2:
-                return
-            sides = np.array(group["side"])
-            key, i, j = now
-            if i == j:
-                pending.extend(compare(key, group, group, True, known) or ())
-            elif 0 < sides.sum() < len(sides):
-                pick = lambda s: {c: [v for v, k in zip(group[c], sides, strict=True) if k == s] for c in ("cid", "n", "unit")}
-                pending.extend(compare(key, pick(0), pick(1), False, known) or ())
-
-        def flush():
-            ids, links, roots = (np.concatenate([p[k] for p in pending]) for k in range(3)) if pending else (np.zeros(0, np.int64),) * 3
-            keep = links > 0
-            pending.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x[keep], pa.int64()) for x in (ids, links, roots)], ["cid", "links", "root"])
 
+def _within(rows: DataFrame, threshold: float, settings: dict[int, Setting]) -> DataFrame:
+    """Rows ``(cid, links, root)`` from rows sorted by ``key, i, j, side``: links counted here, and a node linked here."""
+    names = ("key", "i", "j", "side", "cid", "n", "unit")
+
+    def compared(columns: dict[str, list]) -> pa.RecordBatch:
+        r = _Rows(columns, settings)
+        cut = np.flatnonzero((np.diff(r.key) != 0) | (np.diff(r.i) != 0) | (np.diff(r.j) != 0)) + 1
+        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(r.key)]])
+        small = (r.i[starts] == r.j[starts]) & (ends - starts <= SMALL_CELL)
+        found = []
+        if small.any():
+            found.extend(r.listed(threshold, starts[small], ends[small]))
+        for a, b in zip(starts[~small].tolist(), ends[~small].tolist(), strict=True):
+            group = np.arange(a, b)
+            for dim in np.unique(r.length[a:b]):
+                of = group[r.length[a:b] == dim]
+                if r.i[a] == r.j[a]:
+                    found.extend(r.block(threshold, of, of))
+                else:
+                    found.extend(r.block(threshold, of[r.side[of] == 0], of[r.side[of] == 1]))
+        ids, links, roots = (np.concatenate([f[k] for f in found]) for k in range(3)) if found else (np.zeros(0, np.int64),) * 3
+        keep = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(x[keep], pa.int64()) for x in (ids, links, roots)], ["cid", "links", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list] = {c: [] for c in names}
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
-            for k, at in enumerate(zip(columns["key"], columns["i"], columns["j"], strict=True)):
-                if at != now:
-                    close()
-                    now, group = at, {c: [] for c in ("cid", "n", "unit", "side")}
-                for c in ("cid", "n", "unit", "side"):
-                    group[c].append(columns[c][k])
-            if len(known) > 100_000:
-                known.clear()
-            if pending:
-                yield flush()
-        close()
-        yield flush()
-
-    return rows.mapInArrow(run, "cid long, links long, root long")
+            for c in names:
+                held[c].extend(batch.column(c).to_pylist())
+            if len(held["key"]) >= GATHERED:
+                # The last group may go on: it is kept back.
+                last = len(held["key"]) - 1
+                while last > 0 and all(held[c][last - 1] == held[c][-1] for c in ("key", "i", "j")):
+                    last -= 1
+                if last:
+                    yield compared({c: held[c][:last] for c in names})
+                    held = {c: held[c][last:] for c in names}
+        if held["key"]:
+            yield compared(held)
+
+    return rows.select(*names).mapInArrow(run, "cid long, links long, root long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, setting: Setting | None = None) -> DataFrame:
