@@ -219,7 +219,8 @@ def training_samples(docs: DataFrame) -> dict[str, str]:
     d = columns_of(docs, "doc_id", "lang", "text").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.col("lang") != UND) & F.col("text").isNotNull())
     counted = d.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n"))
     limit = F.least(F.lit(1.0), F.lit(4.0 * SAMPLE_DOCS) / F.col("n")) * (1 << 40)
-    picked = d.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).join(counted, "lang").where(F.col("h") <= limit)
+    # One short row a label is broadcast; the model that is made for each label is a megabyte.
+    picked = d.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).join(F.broadcast(counted), "lang").where(F.col("h") <= limit)
     picked = picked.groupBy("lang", "h").agg(F.min(F.substring("text", 1, SAMPLE_CHARS_DOC)).alias("text"))
     picked = picked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= 4 * SAMPLE_DOCS)
     out: dict[str, list[str]] = {}
