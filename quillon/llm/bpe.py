@@ -25,17 +25,17 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import columns_of, release, ship
+from quillon.llm.common import columns_of, release, ship, sliced
 
 #: Pretokens: fixed pattern of this tokenizer family, with white space as Unicode defines it.
 PRETOKEN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
 #: Pretokens a worker remembers, in two halves: a full new half replaces the old one, but for what is met again.
-CACHE = 200_000
+CACHE = 100_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -54,6 +54,8 @@ class Bpe:
             raise ValueError("not a byte-level BPE definition without prefix space")
         alphabet = byte_alphabet()
         vocab = spec["model"]["vocab"]
+        if odd := [t["content"] for t in spec["added_tokens"] if t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized")]:
+            raise ValueError(f"added tokens that strip, are single words or normalized are not supported: {odd[0]!r}")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = max([*vocab.values(), *self.special.values()]) + 1
         self.text: list[bytes] = [b""] * size
@@ -176,6 +178,8 @@ class Bpe:
         return gather(ids, self.offsets, self.blob).decode("utf-8", "replace")
 
 
+#: Texts encoded before their ids leave a worker.
+SLICE = 200
 #: Ids that ``gather`` expands at once, which bounds its index arrays.
 GATHER = 1 << 18
 
@@ -229,24 +233,27 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     with open(path or default_path(), encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    made = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe, (offsets, blob) = loaded(definition.value)
-        for texts in batches:
-            rows: list[tuple] = []
-            for t in texts:
-                ids = bpe.encode(t if isinstance(t, str) else None)
-                listed = gather(ids, offsets, blob)[:-1]
-                back = bpe.decode(ids).encode()
-                rows.append((len(ids), hashlib.sha256(listed).hexdigest(), hashlib.sha256(back).hexdigest(), ids if with_ids else None))
-            frame = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-            yield frame if with_ids else frame.drop(columns="ids")
+        for part in sliced(texts, SLICE):
+            ids = [bpe.encode(t) for t in part.to_pylist()]
+            columns = [
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(gather(x, offsets, blob)[:-1]).hexdigest() for x in ids], pa.string()),
+                pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string()),
+            ]
+            if with_ids:
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
+            yield pa.StructArray.from_arrays(columns, made)
         # A worker outlives its tasks: what follows in it needs the memory.
         del bpe
         _LOADED.clear()
         release()
 
-    made = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-    udf = F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    udf = F.arrow_udf(run, "struct<n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + ",ids:array<int>" * with_ids + ">")
     kept = [c for c in docs.columns if c not in (*made, "text", "_p")]
     out = columns_of(docs, *kept, "text").withColumn("_p", udf(F.col("text")))
     return out.select(*(F.col(f"`{c}`") for c in kept), *(F.col(f"_p.{c}").alias(c) for c in made))
@@ -259,12 +266,12 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
     with open(path or default_path(), encoding="utf-8") as f:
         definition = spark.sparkContext.broadcast(f.read())
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe, _ = loaded(definition.value)
-        for ids in batches:
-            yield pd.Series([None if x is None else bpe.decode(np.asarray(x, np.int32)) for x in ids], dtype=object)
+        for part in sliced(batches, SLICE):
+            yield pa.array([None if x is None else bpe.decode(np.asarray(x, np.int32)) for x in part.to_pylist()], pa.string())
 
-    return encoded.withColumn("text", F.pandas_udf(run, "string")(F.col("ids")))
+    return encoded.withColumn("text", F.arrow_udf(run, "string")(F.col("ids")))
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

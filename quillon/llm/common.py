@@ -105,6 +105,13 @@ def release() -> None:
             trim(0)
 
 
+def sliced(arrays: Iterator[pa.Array], rows: int = 500) -> Iterator[pa.Array]:
+    """The same values in arrays of at most ``rows``: what a worker makes of one is gone before the next."""
+    for a in arrays:
+        for at in range(0, len(a), rows):
+            yield a.slice(at, rows)
+
+
 def columns_of(df: DataFrame, *names: str) -> DataFrame:
     """The named columns under these very names, whatever else the input carries."""
     return df.select(*(F.col(f"`{n}`").alias(n) for n in names))

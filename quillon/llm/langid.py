@@ -28,11 +28,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import columns_of, release, ship
+from quillon.llm.common import columns_of, release, ship, sliced
 
 UND = "und"
 #: Bounds of the labelled sample the model is fitted on.
@@ -239,22 +239,24 @@ def identify(docs: DataFrame) -> DataFrame:
     ship(spark)
     model = spark.sparkContext.broadcast(fit(training_samples(docs)))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            langs, scores, part, size = [], [], [], 0
-            for t in [*texts, ...]:
-                if t is not ...:
-                    part.append(None if t is None or t is pd.NA else t)
-                    size += len(part[-1] or "")
-                if part and (t is ... or size > BATCH_SYMBOLS):
-                    found = predict(model.value, part)
-                    langs += found[0]
-                    scores += found[1]
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        def found(part: list[str | None]) -> pa.Array:
+            langs, scores = predict(model.value, part)
+            return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+
+        part, size = [], 0
+        for texts in sliced(batches):
+            for t in texts.to_pylist():
+                part.append(t)
+                size += len(t or "")
+                if size > BATCH_SYMBOLS:
+                    yield found(part)
                     part, size = [], 0
-            yield pd.DataFrame({"lang_pred": pd.Series(langs, dtype=object), "score": pd.Series(scores, dtype="float64")})
+        if part:
+            yield found(part)
         release()
 
-    udf = F.pandas_udf(run, "lang_pred string, score double")
+    udf = F.arrow_udf(run, "struct<lang_pred:string,score:double>")
     kept = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score", "_p")]
     out = columns_of(docs, *kept).withColumn("_p", udf(F.col("text")))
     return out.select(*(F.col(f"`{c}`") for c in kept), held_out(F.col("doc_id")).alias("held_out"), F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
