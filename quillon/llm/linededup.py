@@ -31,6 +31,8 @@ with the same doc_id and text are one document: they get the same result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,35 +50,35 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(F.lit(1), w))
 
 
-def _spread(values: Column, width: int, f, then) -> Column:
-    """``then`` of the list that has, at each place, ``f`` over ``width`` values from there: spans double, the last two overlap."""
+def _spread(values: Column, width: int, f, last=lambda x, i: x) -> Column:
+    """At each place ``f`` of the ``width`` values from there, made in two steps of about its square root; ``last`` of that and the place."""
+    step = math.isqrt(width - 1) + 1
+    near = range(step)
+    far = [min(a, width - step) for a in range(0, width, step)]
+    over = lambda x, i, places: f(*(F.get(x, i + F.lit(k)) for k in places))
+    return let(F.transform(values, lambda _, i: over(values, i, near)), lambda x: F.transform(x, lambda _, i: last(over(x, i, far), i)))
 
-    def at(x: Column, span: int) -> Column:
-        if span == width:
-            return then(x)
-        step = min(span, width - span)
-        return let(F.zip_with(x, F.slice(x, step + 1, F.size(x)), f), lambda y: at(y, span + step))
 
-    return at(values, 1)
+#: Low bits of a gram's hash that give way to its place, so that the least of a window tells where it is: as many as words fit in a string.
+PLACE_BITS = 30
 
 
 def fingerprints(docs: DataFrame, gram: int, window: int) -> DataFrame:
     """``(doc_id, th, pos, g1, g2)``: selected grams; th tells texts of one doc_id apart, pos counts words from 0."""
+    mask = (1 << PLACE_BITS) - 1
 
     def of(h: Column) -> Column:
-        grams = _spread(h, gram, lambda x, y: F.xxhash64(F.lit(3), x, y), lambda x: F.slice(x, 1, F.size(h) - (gram - 1)))
-        return F.when(F.size(h) >= gram, let(grams, lambda g: chosen(h, g)))
+        marked = lambda x, i: x.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("bigint"))
+        grams = _spread(h, gram, lambda *x: F.xxhash64(F.lit(3), *x), marked)
+        return F.when(F.size(h) >= gram, let(F.slice(grams, 1, F.size(h) - (gram - 1)), lambda g: chosen(h, g)))
 
     def chosen(h: Column, g: Column) -> Column:
-        least = _spread(g, window, lambda x, y: F.least(x, y), lambda x: F.slice(x, 1, F.greatest(F.size(g) - (window - 1), F.lit(1))))
-        pad = F.array_repeat(F.lit(None).cast("bigint"), window - 1)
-        # A gram is chosen if it is the least of any window that holds it.
-        most = let(least, lambda m: _spread(F.concat(pad, m, pad), window, lambda x, y: F.greatest(x, y), lambda x: x))
-        return let(most, lambda m: pick(h, g, m))
+        least = F.slice(_spread(g, window, F.least), 1, F.greatest(F.size(g) - (window - 1), F.lit(1)))
+        return F.transform(F.array_distinct(least), lambda v: pick(h, v))
 
-    def pick(h: Column, g: Column, m: Column) -> Column:
-        at = F.filter(F.transform(g, lambda x, i: F.when(x == m[i], i)), lambda i: i.isNotNull())
-        return F.transform(at, lambda i: F.struct(i.alias("pos"), g[i].alias("g1"), F.xxhash64(F.lit(4), F.slice(h, i + 1, gram)).alias("g2")))
+    def pick(h: Column, v: Column) -> Column:
+        pos = v.bitwiseAND(F.lit(mask)).cast("int")
+        return F.struct(pos.alias("pos"), F.shiftright(v, PLACE_BITS).alias("g1"), F.xxhash64(F.lit(4), F.slice(h, pos + 1, gram)).alias("g2"))
 
     d = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), let(word_hashes(F.col("text")), of).alias("f"))
     # Not explode: the filter inferred from it would compute the list again.
@@ -170,13 +172,15 @@ def _cut(units: Column, ranges: Column) -> Column:
         return F.struct(r["a"].alias("a"), r["b"].alias("b"), made.alias("gap"))
 
     def kept(cuts: Column) -> Column:
-        def unit(u: Column, i: Column) -> Column:
-            ended = F.filter(cuts, lambda r: r["b"] + 1 == i)
-            return F.when(F.exists(cuts, lambda r: (i >= r["a"]) & (i <= r["b"])), F.lit("")).when(F.size(ended) > 0, F.concat(F.get(ended, F.lit(0))["gap"], F.regexp_replace(u, f"^[{SPACE}]+", ""))).otherwise(u)
+        def after(r: Column, i: Column) -> Column:
+            until = F.coalesce(F.get(cuts, i + 1)["a"], F.size(units))
+            return F.concat(r["gap"], F.regexp_replace(units[r["b"] + 1], f"^[{SPACE}]+", ""), F.array_join(F.slice(units, r["b"] + 3, F.greatest(until - r["b"] - 2, F.lit(0))), ""))
 
-        return F.array_join(F.transform(units, unit), "")
+        return F.concat(F.array_join(F.slice(units, F.lit(1), F.get(cuts, F.lit(0))["a"]), ""), F.array_join(F.transform(cuts, after), ""))
 
-    return let(F.transform(F.transform(ranges, snapped), with_gap), kept)
+    # Runs may all be too short to cut.
+    whole = lambda cuts: F.when(F.size(cuts) == 0, F.array_join(units, "")).otherwise(kept(cuts))
+    return let(F.transform(F.transform(ranges, snapped), with_gap), whole)
 
 
 def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
