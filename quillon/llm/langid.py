@@ -256,7 +256,8 @@ def identify(docs: DataFrame) -> DataFrame:
             yield found(part)
         release()
 
-    udf = F.arrow_udf(run, "struct<lang_pred:string,score:double>")
+    # Called nondeterministic so that a filter on its result does not make it run twice.
+    udf = F.arrow_udf(run, "struct<lang_pred:string,score:double>").asNondeterministic()
     kept = [c for c in docs.columns if c not in ("held_out", "lang_pred", "score", "_p")]
     out = columns_of(docs, *kept).withColumn("_p", udf(F.col("text")))
     return out.select(*(F.col(f"`{c}`") for c in kept), held_out(F.col("doc_id")).alias("held_out"), F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
