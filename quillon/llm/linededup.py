@@ -1,8 +1,8 @@
 """Removal of repeated runs of words, by winnowing, in DataFrame operations alone.
 
 A text is its sequence of words; where lines break does not matter to the search.
-A gram is GRAM words in a row.  Of any WINDOW grams in a row the ones with the least
-hash are fingerprints.  So two places that share GRAM + WINDOW - 1 words in a row
+A gram is GRAM words in a row.  Of any WINDOW grams in a row the one whose first word
+has the least hash, the first of equal ones, is a fingerprint.  So two places that share GRAM + WINDOW - 1 words in a row
 share a fingerprint in them, and none is shared by fewer than GRAM words.
 
 Every fingerprint is held against its first occurrence, by doc_id and then position.
@@ -45,21 +45,26 @@ EDGE = 3
 SPACE = r"\x20\x09-\x0D"
 
 
+def words(text: Column) -> Column:
+    """The words in order; the text is trimmed first, so that no split-off piece is empty."""
+    bare = F.trim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(bare != "", F.split(bare, f"[{SPACE}]+")).when(bare == "", F.array().cast("array<string>"))
+
+
 def word_hashes(text: Column) -> Column:
-    words = F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(F.lit(1), w))
+    return F.transform(words(text), lambda w: F.xxhash64(F.lit(1), w))
 
 
-def _spread(values: Column, width: int, f, last=lambda x, i: x) -> Column:
-    """At each place ``f`` of the ``width`` values from there, made in two steps of about its square root; ``last`` of that and the place."""
+def _least(values: Column, width: int) -> Column:
+    """At each place the least of the ``width`` values from there, made in two steps of about its square root."""
     step = math.isqrt(width - 1) + 1
     near = range(step)
     far = [min(a, width - step) for a in range(0, width, step)]
-    over = lambda x, i, places: f(*(F.get(x, i + F.lit(k)) for k in places))
-    return let(F.transform(values, lambda _, i: over(values, i, near)), lambda x: F.transform(x, lambda _, i: last(over(x, i, far), i)))
+    over = lambda x, i, places: F.least(*(F.get(x, i + F.lit(k)) for k in places)) if len(places) > 1 else F.get(x, i)
+    return let(F.transform(values, lambda _, i: over(values, i, near)), lambda x: F.transform(x, lambda _, i: over(x, i, far)))
 
 
-#: Low bits of a gram's hash that give way to its place, so that the least of a window tells where it is: as many as words fit in a string.
+#: Low bits of a word's hash that give way to its place, so that the least of a window tells where it is: as many as words fit in a string.
 PLACE_BITS = 30
 
 
@@ -67,20 +72,18 @@ def fingerprints(docs: DataFrame, gram: int, window: int) -> DataFrame:
     """``(doc_id, th, pos, g1, g2)``: selected grams; th tells texts of one doc_id apart, pos counts words from 0."""
     mask = (1 << PLACE_BITS) - 1
 
-    def of(h: Column) -> Column:
-        marked = lambda x, i: x.bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("bigint"))
-        grams = _spread(h, gram, lambda *x: F.xxhash64(F.lit(3), *x), marked)
-        return F.when(F.size(h) >= gram, let(F.slice(grams, 1, F.size(h) - (gram - 1)), lambda g: chosen(h, g)))
+    def of(w: Column) -> Column:  # only words that begin a whole gram are marked
+        marked = F.transform(F.slice(w, 1, F.size(w) - (gram - 1)), lambda x, i: F.xxhash64(F.lit(3), x).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("bigint")))
+        return F.when(F.size(w) >= gram, let(marked, lambda m: chosen(w, m)))
 
-    def chosen(h: Column, g: Column) -> Column:
-        least = F.slice(_spread(g, window, F.least), 1, F.greatest(F.size(g) - (window - 1), F.lit(1)))
-        return F.transform(F.array_distinct(least), lambda v: pick(h, v))
+    def chosen(w: Column, m: Column) -> Column:
+        least = F.slice(_least(m, window), 1, F.greatest(F.size(m) - (window - 1), F.lit(1)))
+        return F.transform(F.array_distinct(least), lambda v: pick(w, v.bitwiseAND(F.lit(mask)).cast("int")))
 
-    def pick(h: Column, v: Column) -> Column:
-        pos = v.bitwiseAND(F.lit(mask)).cast("int")
-        return F.struct(pos.alias("pos"), F.shiftright(v, PLACE_BITS).alias("g1"), F.xxhash64(F.lit(4), F.slice(h, pos + 1, gram)).alias("g2"))
+    def pick(w: Column, pos: Column) -> Column:
+        return let(F.slice(w, pos + 1, gram), lambda x: F.struct(pos.alias("pos"), F.xxhash64(F.lit(3), x).alias("g1"), F.xxhash64(F.lit(4), x).alias("g2")))
 
-    d = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), let(word_hashes(F.col("text")), of).alias("f"))
+    d = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("th"), let(words(F.col("text")), of).alias("f"))
     # Not explode: the filter inferred from it would compute the list again.
     return d.select("doc_id", "th", F.explode_outer("f").alias("f")).where("f is not null").select("doc_id", "th", "f.*")
 
