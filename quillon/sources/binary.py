@@ -4,7 +4,7 @@ Layout, native byte order: ``u64 rows, u64 columns``, then each column as
 ``rows`` contiguous u64 values.  A scan is split into row ranges; each task reads
 only its slice of the columns named in the ``columns`` option (Spark does not tell
 Python sources which columns a query uses, so the catalog names them), and of the
-rest only where a pushed filter holds.  Spark's LongType holds values below 2**63;
+rest only where a pushed filter holds (the ``pushdown`` option).  Spark's LongType holds values below 2**63;
 a larger one raises unless ``decimal`` is set, which yields decimal(20,0) columns
 over the full unsigned range.  A header with no rows is an empty relation.
 
@@ -32,6 +32,8 @@ FORMAT = "u64col"
 HEADER_BYTES = 16
 ROWS_PER_PARTITION = 4_000_000
 ROWS_PER_BATCH = 65_536
+#: The session setting without which Spark refuses readers that take filters.
+PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 #: A folder's list of files, one ``rows name`` a line, written when all files are complete.
 LIST = "_files"
 _COMPARED = {EqualTo: pc.equal, GreaterThan: pc.greater, GreaterThanOrEqual: pc.greater_equal, LessThan: pc.less, LessThanOrEqual: pc.less_equal}
@@ -129,20 +131,13 @@ class RowRange(InputPartition):
     rows: int
 
 
-class U64Reader(DataSourceReader):
+class U64Scan(DataSourceReader):
+    """Reads row ranges.  It takes no filters: Spark refuses a reader that does where the session has not enabled that."""
+
     def __init__(self, path: str, schema: T.StructType, rows_per_partition: int) -> None:
         self.path, self.schema, self.step = path, schema, rows_per_partition
         self.filters: list[tuple[type, str, int]] = []
 
-    def pushFilters(self, filters):  # noqa: N802
-        """Comparisons of a column with a number are applied to a batch before any other column of it is read."""
-        names = set(self.schema.names)
-        for f in filters:
-            if type(f) in _COMPARED and len(f.attribute) == 1 and f.attribute[0] in names and isinstance(f.value, int) and -(2**63) <= f.value < 2**63:
-                self.filters.append((type(f), f.attribute[0], f.value))
-            else:
-                yield f
-
     def partitions(self) -> list[RowRange]:
         found = [(p, header(p)[0]) for p in files(self.path)]
         return [RowRange(p, a, min(a + self.step, n), n) for p, n in found for a in range(0, n, self.step)] or [RowRange("", 0, 0, 0)]
@@ -176,6 +171,17 @@ class U64Reader(DataSourceReader):
                 yield batch if keep is None else batch.filter(keep)
 
 
+class U64Reader(U64Scan):
+    def pushFilters(self, filters):  # noqa: N802
+        """Comparisons of a column with a number are applied to a batch before any other column of it is read."""
+        names = set(self.schema.names)
+        for f in filters:
+            if type(f) in _COMPARED and len(f.attribute) == 1 and f.attribute[0] in names and isinstance(f.value, int) and -(2**63) <= f.value < 2**63:
+                self.filters.append((type(f), f.attribute[0], f.value))
+            else:
+                yield f
+
+
 class U64Source(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -189,16 +195,18 @@ class U64Source(DataSource):
             raise ValueError(f"column {bad[0]} is out of range: {self.options['path']} has {width}")
         return T.StructType([T.StructField(f"c{i}", kind, False) for i in wanted])
 
-    def reader(self, schema: T.StructType) -> U64Reader:
-        return U64Reader(self.options["path"], schema, int(self.options.get("rowsPerPartition", ROWS_PER_PARTITION)))
+    def reader(self, schema: T.StructType) -> U64Scan:
+        kind = U64Reader if self.options.get("pushdown", "false").lower() == "true" else U64Scan
+        return kind(self.options["path"], schema, int(self.options.get("rowsPerPartition", ROWS_PER_PARTITION)))
 
 
 def read(spark: SparkSession, path: str, decimal: bool = False, rows_per_partition: int = ROWS_PER_PARTITION, columns: Sequence[int] | None = None) -> DataFrame:
     """columns: indices of the columns to read, all if none are named.
 
-    Filters reach the reader where ``spark.sql.python.filterPushdown.enabled`` is set
-    (``quillon.session`` sets it); elsewhere Spark applies them after the scan.
+    Filters reach the reader where ``spark.sql.python.filterPushdown.enabled`` is set as
+    the frame is made (``quillon.session`` sets it); elsewhere Spark applies them after the scan.
     """
     spark.dataSource.register(U64Source)
-    options = {"decimal": str(decimal).lower(), "rowsPerPartition": str(rows_per_partition), "columns": ",".join(map(str, columns or ()))}
+    pushdown = spark.conf.get(PUSHDOWN, "false")
+    options = {"pushdown": pushdown, "decimal": str(decimal).lower(), "rowsPerPartition": str(rows_per_partition), "columns": ",".join(map(str, columns or ()))}
     return spark.read.format(FORMAT).options(**options).load(path)

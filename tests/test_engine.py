@@ -134,6 +134,19 @@ def test_binary_folder(spark, tmp_path):
         binary.write_frame(spark.createDataFrame([(1,), (None,)], "a long"), f"{tmp_path}/bad")
 
 
+@pytest.mark.parametrize("name", ["scan_binary"])
+def test_binary_in_a_plain_session(spark, sf, name):
+    """Spark's own settings do not let filters reach a Python reader; the results are the same."""
+    from oracle import assert_same, connect
+    from quillon.queries import ORACLE, QUERIES
+
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    try:
+        assert_same(QUERIES[name](spark, sf), connect(sf), ORACLE[name])
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+
+
 def test_pushed_filters():
     from pyspark.sql.datasource import EqualTo, GreaterThan, IsNotNull
     from pyspark.sql.types import LongType, StructField, StructType
