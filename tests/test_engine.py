@@ -134,7 +134,7 @@ def test_binary_folder(spark, tmp_path):
         binary.write_frame(spark.createDataFrame([(1,), (None,)], "a long"), f"{tmp_path}/bad")
 
 
-@pytest.mark.parametrize("name", ["scan_binary"])
+@pytest.mark.parametrize("name", ["scan_binary", "scan_binary_filter"])
 def test_binary_in_a_plain_session(spark, sf, name):
     """Spark's own settings do not let filters reach a Python reader; the results are the same."""
     from oracle import assert_same, connect
