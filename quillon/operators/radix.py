@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.bits import low_bits
+from quillon.plans.lower import hinted
 
 
 def bucket(column: Column, bits: int) -> Column:
@@ -68,7 +69,7 @@ def pair_join(r: DataFrame, s: DataFrame, hint: str | None = None) -> DataFrame:
     """All pairs ``(r_id, s_id)`` with equal values, from ``(id, value)`` inputs of two columns each."""
     left = r.toDF("r_id", "value")
     right = s.toDF("s_id", "value")
-    return left.join(right.hint(hint) if hint else right, "value").select("r_id", "s_id")
+    return left.join(hinted(right, hint), "value").select("r_id", "s_id")
 
 
 #: Row ids that one page of a value's index spans.

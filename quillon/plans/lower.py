@@ -20,8 +20,10 @@ from quillon.plans.dsl import ColumnRef, Filter, JoinPred, QuerySpec, parse
 from quillon.sources.catalog import Catalog
 
 U32 = 0xFFFFFFFF
-#: Largest estimated side that a broadcast hint is passed on for.
-BROADCAST_BYTES = 512 << 20
+#: Largest side that a broadcast hint is passed on for, as a hash table in memory; the driver holds it a few times over.
+BROADCAST_BYTES = 64 << 20
+#: What a row takes in a hash table besides twice its values.
+ROW_BYTES = 64
 
 
 class DisconnectedQuery(ValueError):
@@ -38,9 +40,16 @@ def _compare(column: Column, f: Filter) -> Column:
 
 
 def hinted(df: DataFrame, hint: str | None) -> DataFrame:
-    if hint is None or hint == "broadcast" and int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > BROADCAST_BYTES:
-        return df
-    return df.hint(hint)
+    """``df`` with the hint, but for a broadcast of more than BROADCAST_BYTES.
+
+    Spark's estimate goes by the size of packed files, which tells little of rows in
+    memory: it only rules out, and a side that it lets through is counted.
+    """
+    if hint == "broadcast":
+        estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if estimate > BROADCAST_BYTES or df.count() * (ROW_BYTES + 2 * df._jdf.schema().defaultSize()) > BROADCAST_BYTES:
+            return df
+    return df.hint(hint) if hint else df
 
 
 def lower(
@@ -56,7 +65,7 @@ def lower(
 
     order: the join predicates in the order to fold (default: as written).
     hint: a Spark join hint for every join (``broadcast``, ``shuffle_hash``, ``merge``);
-    a side is broadcast only while Spark's estimate of it is at most BROADCAST_BYTES.
+    a side is broadcast only if its rows, which are counted, take at most BROADCAST_BYTES.
     allow_cross: SQL's cross product for aliases no predicate connects, else an error.
     compat_u32: filters and joins compare the low 32 bits only.
     """

@@ -174,6 +174,18 @@ def test_broadcast_hint_has_a_bound(spark, sf, monkeypatch):
     assert lower.hinted(small, "broadcast") is small
 
 
+def test_broadcast_bound_counts_rows(spark, tmp_path):
+    """Files that pack well: Spark estimates a few MB for two million rows."""
+    from quillon.plans import lower
+
+    spark.range(2_000_000).select(F.lit(7).cast("long").alias("a"), F.lit(8).cast("long").alias("b")).write.parquet(f"{tmp_path}/p")
+    packed = spark.read.parquet(f"{tmp_path}/p")
+    assert int(str(packed._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 2 << 20
+    assert lower.hinted(packed, "broadcast") is packed
+    assert lower.hinted(packed.limit(1000), "broadcast") is not packed
+    assert lower.hinted(packed, "merge") is not packed and lower.hinted(packed, None) is packed
+
+
 def test_workload_file(spark, tmp_path):
     """A workload file in, a result file out, line by line as brute force has it."""
     rng = random.Random(11)
