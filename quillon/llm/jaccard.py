@@ -58,6 +58,12 @@ FULL = b"\xff" * HISTOGRAM
 #: Members up to which a key's pairs are made by a join, and about as many make a block of a larger one.
 SMALL_KEY = 32
 BLOCK = 96
+#: Bytes of blocks made at once: so many at least, or so many a document of the input.
+BLOCK_BYTES = 128 << 20
+BLOCK_DOC_BYTES = 256
+#: Bytes of whole sets held against each other at once, likewise.
+SET_BYTES = 128 << 20
+SET_DOC_BYTES = 1 << 10
 
 _rng = np.random.Generator(np.random.PCG64(20240817))
 _BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -226,21 +232,29 @@ def _keys(docs: DataFrame, n: int, threshold: int, frequent) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, often long, keys array<long>")
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
+def _texts(docs: DataFrame, n: int, column: str, value) -> DataFrame:
+    """``doc, n`` and what ``value`` makes of the set, of every row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, sizes, hists, sets = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingle_set(text, n)
-                ids.append(doc)
-                sizes.append(len(s))
-                counts = np.bincount((s & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM)
-                hists.append(FULL if counts.max() > 254 else counts.astype(np.uint8).tobytes())
-                sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), _binary(hists), _binary(sets)], ["doc", "n", "hist", "tokens"])
+            sets = (shingle_set(text, n) for text in batch.column(1).to_pylist())
+            made = [(len(s), value(s)) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in made], pa.int64()), _binary([x for _, x in made])], ["doc", "n", column])
         release()
 
-    return docs.mapInArrow(run, "doc long, n long, hist binary, tokens binary")
+    return docs.mapInArrow(run, f"doc long, n long, {column} binary")
+
+
+def _hists(docs: DataFrame, n: int) -> DataFrame:
+    def hist(s: np.ndarray) -> bytes:
+        counts = np.bincount((s & np.uint64(HISTOGRAM - 1)).astype(np.int64), minlength=HISTOGRAM)
+        return FULL if counts.max() > 254 else counts.astype(np.uint8).tobytes()
+
+    return _texts(docs, n, "hist", hist)
+
+
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    return _texts(docs, n, "tokens", np.ndarray.tobytes)
 
 
 def _pass_pairs(pairs: DataFrame, test) -> DataFrame:
@@ -255,8 +269,13 @@ def _pass_pairs(pairs: DataFrame, test) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int, more: DataFrame | None = None) -> DataFrame:
-    """The candidate pairs ``(a, b)`` that link; those in ``more`` have passed the bound."""
+def _verified(pairs: DataFrame, hists: DataFrame, docs: DataFrame, n: int, threshold: int, total: int, more: DataFrame | None = None) -> DataFrame:
+    """The candidate pairs ``(a, b)`` that link; those in ``more`` have passed the bound.
+
+    Whole sets take more room than their texts.  They are made only for pairs that
+    the bound lets through, in as many passes as keep those of one in a bound.
+    total: the number of all documents, which the bound follows.
+    """
 
     def enough(shared: int, na: int, nb: int) -> bool:
         return 100 * shared >= threshold * (na + nb - shared)
@@ -270,27 +289,69 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int, more: DataFrame
         both.sort(kind="stable")
         return enough(int((both[1:] == both[:-1]).sum()), na, nb)
 
-    def beside(p: DataFrame, column: str) -> DataFrame:
+    def beside(p: DataFrame, sets: DataFrame, column: str) -> DataFrame:
         for side in "ab":
             p = p.join(sets.select(F.col("doc").alias(side), F.col("n").alias(f"n{side}"), F.col(column).alias(f"x{side}")), side)
         return p.select("a", "b", "na", "nb", "xa", "xb")
 
-    likely = _pass_pairs(beside(pairs, "hist"), bound)
+    likely = _pass_pairs(beside(pairs, hists, "hist"), bound)
     if more is not None:
         likely = likely.unionByName(more)
     likely = table(likely.distinct(), "jac-likely")
-    return _pass_pairs(beside(likely, "tokens"), exact).distinct()
+    ends = likely.select(F.explode(F.array("a", "b")).alias("doc"))
+    size = 8 * (ends.join(hists.select("doc", "n"), "doc").agg(F.sum("n")).first()[0] or 0)
+    passes = -(-size // max(SET_BYTES, SET_DOC_BYTES * total)) or 1
+    found = None
+    for at in range(passes):
+        mine = likely if passes == 1 else likely.where(F.pmod(F.xxhash64("a", F.lit("pass")), F.lit(passes)) == at)
+        wanted = table(mine.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jac-exact")
+        sets = table(_sets(semi_join_large(docs, wanted, "doc_id"), n), "jac-sets")
+        new = table(_pass_pairs(beside(mine, sets, "tokens"), exact).distinct(), "jac-links")
+        forget(wanted, sets)
+        found = new if found is None else found.unionByName(new)
+    forget(likely)
+    return found
+
 
+def _block_pairs(live: DataFrame, sets: DataFrame, threshold: int, docs: int) -> DataFrame:
+    """``(a, b)`` across components that the bound lets through, of keys whose members come as ``(key, m, doc, n, comp)``.
+
+    A member carries its histogram and its other keys under every key, which grows
+    with the square of its keys: the keys are dealt to as many passes as keep the
+    blocks of one in a bound.  Passes share no key, so all keys are compared.
+    docs: the number of all documents, which the bound follows.
+    """
+    lists = live.groupBy("doc").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    lists = table(lists.join(sets.select("doc", "hist"), "doc"), "jac-lists")
+    size = F.size("keys").cast("long")
+    total = lists.agg(F.sum(size * (HISTOGRAM + 24 + 8 * size))).first()[0] or 0
+    passes = -(-total // max(BLOCK_BYTES, BLOCK_DOC_BYTES * docs)) or 1
+    found = None
+    for at in range(passes):
+        mine = live if passes == 1 else live.where(F.pmod(F.xxhash64("key", F.lit("pass")), F.lit(passes)) == at)
+        blocks = table(_blocks(mine, lists), "jac-blocks")
+        new = table(_compared(blocks, threshold), "jac-near")
+        forget(blocks)
+        found = new if found is None else found.unionByName(new)
+    forget(lists)
+    return found
 
-def _block_pairs(live: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """``(a, b)`` across components that the bound lets through, of keys whose members come as ``(key, m, doc, n, comp)``."""
-    lists = table(live.groupBy("doc").agg(F.sort_array(F.collect_set("key")).alias("keys")), "jac-lists")
-    d = live.join(sets.select("doc", "hist"), "doc").join(lists, "doc")
+
+#: What a member carries in its blocks.
+_CARRIED = ("doc", "n", "comp", "hist", "keys")
+
+
+def _blocks(live: DataFrame, lists: DataFrame) -> DataFrame:
+    """``(key, i)`` and lists of the members of block i of the key."""
+    d = live.join(lists, "doc")
     blocks = F.ceil(F.col("m") / BLOCK)
     d = d.withColumn("i", F.pmod(F.xxhash64("doc", F.lit("block")), blocks))
-    columns = ("doc", "n", "comp", "hist", "keys")
-    d = d.groupBy("key", "i").agg(*(F.collect_list(c).alias(c) for c in columns))
-    d = table(d, "jac-blocks")
+    return d.groupBy("key", "i").agg(*(F.collect_list(c).alias(c) for c in _CARRIED))
+
+
+def _compared(d: DataFrame, threshold: int) -> DataFrame:
+    """The pairs of every two blocks of a key."""
+    columns = _CARRIED
     other = d.select("key", F.col("i").alias("j"), *(F.col(c).alias(f"{c}2") for c in columns))
     met = d.join(other, "key").where("i <= j")
     order = ["key", "i", "j", *(f"{c}{k}" for k in ("", "2") for c in columns)]
@@ -418,14 +479,15 @@ def links(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[Data
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
         wanted = wanted if large is None else wanted.unionByName(in_large.select(F.col("doc").alias("doc_id")))
         wanted = table(wanted.distinct(), "jac-wanted")
-        sets = table(_sets(semi_join_large(docs, wanted, "doc_id"), n), "jac-sets")
-        more = None if large is None else _block_pairs(large, sets, threshold)
-        new = table(_verified(pairs, sets, threshold, more), "jac-links")
+        hists = table(_hists(semi_join_large(docs, wanted, "doc_id"), n), "jac-hists")
+        more = None if large is None else _block_pairs(large, hists, threshold, total)
+        new = _verified(pairs, hists, docs, n, threshold, total, more)
         found = new if found is None else found.unionByName(new)
+        forget(live, open_keys, wanted, hists)
         if at < PIVOT_ROUNDS:
-            forget(live, open_keys, wanted, sets)
             cc = components(found, "jac-cc").select(F.col("node").alias("doc"), F.col("comp").alias("c"))
             comp = table(ids.join(cc, "doc", "left").select("doc", F.coalesce("c", "doc").alias("comp")), "jac-comp")
+    forget(members)
     return rows, copies if found is None else copies.unionByName(found)
 
 

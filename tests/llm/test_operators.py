@@ -217,6 +217,18 @@ def test_jaccard_large_keys(spark, monkeypatch):
     assert 1 < len(set(want.values())) < 160
 
 
+def test_jaccard_makes_few_whole_sets(spark, monkeypatch):
+    """Texts that share passages but are not alike are told apart by their histograms."""
+    rng = random.Random(9)
+    shared = [" ".join(f"p{k}x{i}" for i in range(40)) for k in range(10)]
+    rows = [(i, " ".join(rng.sample(shared, 5) + [f"o{i}x{j}" for j in range(60)]), "a", "s") for i in range(80)]
+    made = []
+    whole = jaccard._sets
+    monkeypatch.setattr(jaccard, "_sets", lambda docs, n: made.append(docs.count()) or whole(docs, n))
+    assert all(r.component_id == r.doc_id for r in jaccard.similar(frame(spark, rows)).collect())
+    assert sum(made) <= 20
+
+
 def test_components(spark):
     rng = random.Random(6)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(500, 600 + i) for i in range(50)] + [(i, i + 1) for i in range(700, 760)]
