@@ -54,10 +54,24 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.set(k, v)
 
 
-def table(df: DataFrame, like: str = "t") -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here, a lost executor costs nothing before it."""
+#: Tasks a core that write a table of few rows.
+TASKS_A_CORE = 4
+
+
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """How many tasks write a table that follows ``rows``: one for ``each`` of them, and enough for all cores."""
+    return max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, rows // each)
+
+
+def table(df: DataFrame, like: str = "t", tasks: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends here, a lost executor costs nothing before it.
+
+    tasks: at most so many write it; where nothing joins small partitions, a file for each costs more than its rows.
+    """
     spark = df.sparkSession
     path = f"{shared_base(spark)}/quillon/{like}-{uuid.uuid4().hex}"
+    if tasks is not None:
+        df = df.coalesce(tasks)
     with settings(spark, _WRITING):
         df.write.parquet(path)
     jvm = spark.sparkContext._jvm
@@ -133,24 +147,24 @@ def semi_join_large(big: DataFrame, ids: DataFrame, key: str, buckets: int = PRE
     return big.withColumn("_slot", slot).join(F.broadcast(wanted), "_slot", "left_semi").drop("_slot").join(ids, key, "left_semi")
 
 
-def components(edges: DataFrame, like: str = "cc") -> DataFrame:
+def components(edges: DataFrame, like: str = "cc", tasks: int | None = None) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(node, comp)``, comp the smallest node reachable.
 
     Every node hooks on its smallest neighbour; the graph is contracted to the
     labels and the step repeated until no edge joins two labels.  State lives in
     tables in the shared folder.  A level's aggregates combine map-side and its
     joins carry no pairs beyond the edges, so that a node with very many edges is
-    only a skewed join side, which adaptive execution splits.
+    only a skewed join side, which adaptive execution splits.  tasks: see ``table``.
     """
-    edges = table(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{like}-e")
+    edges = table(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), f"{like}-e", tasks)
     levels: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a").alias("m")), F.struct(F.col("b").alias("node"), F.col("a").alias("m")))).alias("x")).select("x.*")
-        labels = table(both.groupBy("node").agg(F.min("m").alias("comp")), f"{like}-l")
+        labels = table(both.groupBy("node").agg(F.min("m").alias("comp")), f"{like}-l", tasks)
         # Hooks only point to smaller nodes: follow them to their roots before contracting.
         while True:
             up = labels.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-            labels = table(labels.join(up, "comp").select("node", F.col("root").alias("comp"), (F.col("comp") != F.col("root")).alias("moved")), f"{like}-l")
+            labels = table(labels.join(up, "comp").select("node", F.col("root").alias("comp"), (F.col("comp") != F.col("root")).alias("moved")), f"{like}-l", tasks)
             if labels.where("moved").isEmpty():
                 break
         labels = labels.select("node", "comp")
@@ -158,11 +172,11 @@ def components(edges: DataFrame, like: str = "cc") -> DataFrame:
         la = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
         lb = labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
         mapped = edges.join(la, "a").join(lb, "b").where("ca <> cb")
-        edges = table(mapped.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), f"{like}-e")
+        edges = table(mapped.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), f"{like}-e", tasks)
     if not levels:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     out = levels[-1]
     for labels in reversed(levels[:-1]):
         up = out.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-        out = table(labels.join(up, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), f"{like}-o")
+        out = table(labels.join(up, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")), f"{like}-o", tasks)
     return out

@@ -16,7 +16,7 @@ components are wanted: all members of a key are compared with a few pivots of
 that key, what has been linked is one component, and keys inside one component
 are done.  Then all pairs across components in the keys still open are compared, so
 no link between components is missed: keys with few members by a join, larger
-ones block against block inside tasks, which put out only what passes.  A pair is
+ones chunk against chunk or block against block inside tasks, which put out only what passes.  A pair is
 first held against an exact upper bound of the intersection (histograms of token
 hashes), then its sets are intersected.
 
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import columns_of, components, forget, release, semi_join_large, ship, table
+from quillon.llm.common import columns_of, components, forget, release, semi_join_large, ship, table, tasks_for
 
 N = 4
 THRESHOLD = 85
@@ -58,12 +58,17 @@ FULL = b"\xff" * HISTOGRAM
 #: Members up to which a key's pairs are made by a join, and about as many make a block of a larger one.
 SMALL_KEY = 32
 BLOCK = 96
+#: Documents of large keys that are compared as one, and how far those of a key may lie spread over such chunks.
+CHUNK = 256
+SPREAD = 4
 #: Bytes of blocks made at once: so many at least, or so many a document of the input.
 BLOCK_BYTES = 128 << 20
 BLOCK_DOC_BYTES = 256
 #: Bytes of whole sets held against each other at once, likewise.
 SET_BYTES = 128 << 20
 SET_DOC_BYTES = 1 << 10
+#: Documents for each task that writes an intermediate table, at least.
+TASK_DOCS = 2_000
 
 _rng = np.random.Generator(np.random.PCG64(20240817))
 _BYTE = _rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -280,6 +285,8 @@ def _verified(pairs: DataFrame, hists: DataFrame, docs: DataFrame, n: int, thres
     def enough(shared: int, na: int, nb: int) -> bool:
         return 100 * shared >= threshold * (na + nb - shared)
 
+    tasks = tasks_for(docs.sparkSession, total, TASK_DOCS)
+
     def bound(na, nb, xa, xb) -> bool:
         both = np.minimum(np.frombuffer(xa, np.uint8), np.frombuffer(xb, np.uint8))
         return FULL in (xa, xb) or enough(int(both.sum(dtype=np.int64)), na, nb)
@@ -297,16 +304,16 @@ def _verified(pairs: DataFrame, hists: DataFrame, docs: DataFrame, n: int, thres
     likely = _pass_pairs(beside(pairs, hists, "hist"), bound)
     if more is not None:
         likely = likely.unionByName(more)
-    likely = table(likely.distinct(), "jac-likely")
+    likely = table(likely.distinct(), "jac-likely", tasks)
     ends = likely.select(F.explode(F.array("a", "b")).alias("doc"))
     size = 8 * (ends.join(hists.select("doc", "n"), "doc").agg(F.sum("n")).first()[0] or 0)
     passes = -(-size // max(SET_BYTES, SET_DOC_BYTES * total)) or 1
     found = None
     for at in range(passes):
         mine = likely if passes == 1 else likely.where(F.pmod(F.xxhash64("a", F.lit("pass")), F.lit(passes)) == at)
-        wanted = table(mine.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jac-exact")
-        sets = table(_sets(semi_join_large(docs, wanted, "doc_id"), n), "jac-sets")
-        new = table(_pass_pairs(beside(mine, sets, "tokens"), exact).distinct(), "jac-links")
+        wanted = table(mine.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jac-exact", tasks)
+        sets = table(_sets(semi_join_large(docs, wanted, "doc_id"), n), "jac-sets", tasks)
+        new = table(_pass_pairs(beside(mine, sets, "tokens"), exact).distinct(), "jac-links", tasks)
         forget(wanted, sets)
         found = new if found is None else found.unionByName(new)
     forget(likely)
@@ -317,23 +324,27 @@ def _block_pairs(live: DataFrame, sets: DataFrame, threshold: int, docs: int) ->
     """``(a, b)`` across components that the bound lets through, of keys whose members come as ``(key, m, doc, n, comp)``.
 
     A member carries its histogram and its other keys under every key, which grows
-    with the square of its keys: the keys are dealt to as many passes as keep the
+    with the square of its keys, unless the key's members lie in few chunks: the keys are dealt to as many passes as keep the
     blocks of one in a bound.  Passes share no key, so all keys are compared.
     docs: the number of all documents, which the bound follows.
     """
+    tasks = tasks_for(live.sparkSession, docs, TASK_DOCS)
+    chunked, dense = _chunk_pairs(live, sets, threshold, tasks)
+    chunked = table(chunked.distinct(), "jac-near", tasks)
+    live = table(live.join(dense, "key", "left_anti"), "jac-spread", tasks)
     lists = live.groupBy("doc").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    lists = table(lists.join(sets.select("doc", "hist"), "doc"), "jac-lists")
+    lists = table(lists.join(sets.select("doc", "hist"), "doc"), "jac-lists", tasks)
     size = F.size("keys").cast("long")
     total = lists.agg(F.sum(size * (HISTOGRAM + 24 + 8 * size))).first()[0] or 0
-    passes = -(-total // max(BLOCK_BYTES, BLOCK_DOC_BYTES * docs)) or 1
-    found = None
+    passes = -(-total // max(BLOCK_BYTES, BLOCK_DOC_BYTES * docs))
+    found = chunked
     for at in range(passes):
         mine = live if passes == 1 else live.where(F.pmod(F.xxhash64("key", F.lit("pass")), F.lit(passes)) == at)
         blocks = table(_blocks(mine, lists), "jac-blocks")
         new = table(_compared(blocks, threshold), "jac-near")
         forget(blocks)
-        found = new if found is None else found.unionByName(new)
-    forget(lists)
+        found = found.unionByName(new)
+    forget(lists, live)
     return found
 
 
@@ -349,6 +360,70 @@ def _blocks(live: DataFrame, lists: DataFrame) -> DataFrame:
     return d.groupBy("key", "i").agg(*(F.collect_list(c).alias(c) for c in _CARRIED))
 
 
+def _members(values) -> tuple[np.ndarray, ...]:
+    """doc, n, comp and histograms of a block or chunk, from its lists."""
+    doc, n, comp, hist = (x.values for x in values)
+    return *(x.to_numpy() for x in (doc, n, comp)), np.frombuffer(b"".join(hist.to_pylist()), np.uint8).reshape(-1, HISTOGRAM)
+
+
+def _open(one: tuple, two: tuple, same: bool, threshold: int) -> np.ndarray:
+    """Which pairs lie across components and have sizes that can link; of one block with itself each pair once."""
+    (d1, n1, c1, _), (d2, n2, c2, _) = one, two
+    a, b = n1[:, None], n2[None, :]
+    near = (c1[:, None] != c2[None, :]) & (100 * b >= threshold * a) & (100 * a >= threshold * b)
+    return near & (d1[:, None] < d2[None, :]) if same else near
+
+
+def _bounded(one: tuple, two: tuple, near: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The marked pairs that the bound lets through, lesser document first."""
+    (d1, n1, _, h1), (d2, n2, _, h2) = one, two
+    full1, full2 = (h1 == 255).all(1), (h2 == 255).all(1)
+    for x in np.flatnonzero(near.any(1)):
+        at = np.flatnonzero(near[x])
+        most = np.minimum(h1[x], h2[at]).sum(1, dtype=np.int64)
+        ok = (100 * most >= threshold * (n1[x] + n2[at] - most)) | full1[x] | full2[at]
+        y = d2[at[ok]]
+        yield np.minimum(d1[x], y), np.maximum(d1[x], y)
+
+
+def _pairs_batch(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    cat = lambda i: pa.array(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64))
+    return pa.RecordBatch.from_arrays([cat(0), cat(1)], ["a", "b"])
+
+
+def _chunk_pairs(live: DataFrame, sets: DataFrame, threshold: int, tasks: int) -> tuple[DataFrame, DataFrame]:
+    """``(a, b)`` that the bound lets through, of keys whose members lie in few chunks, and ``(key)`` of these keys.
+
+    Near copies share many keys.  Key by key their pairs would come up under each;
+    here every document is in one chunk, by its least key, and two chunks that have such a key in
+    common are compared once, whole.
+    """
+    homes = table(live.groupBy("doc").agg(F.min("key").alias("home"), F.first("n").alias("n"), F.first("comp").alias("comp")), "jac-homes", tasks)
+    width = homes.groupBy("home").agg(F.ceil(F.count("*") / CHUNK).alias("width"))
+    homes = table(homes.join(width, "home").withColumn("slot", F.pmod(F.xxhash64("doc", F.lit("chunk")), F.col("width"))).drop("width"), "jac-chunked", tasks)
+    touched = table(live.select("key", "m", "doc").join(homes, "doc").select("key", "m", "home", "slot").distinct(), "jac-touched", tasks)
+    dense = touched.groupBy("key").agg(F.count("*").alias("chunks"), F.first("m").alias("m")).where(F.col("chunks") * CHUNK <= SPREAD * F.col("m"))
+    dense = table(dense.select("key"), "jac-dense", tasks)
+    touched = touched.join(dense, "key").select("key", "home", "slot")
+    other = touched.select("key", F.col("home").alias("home2"), F.col("slot").alias("slot2"))
+    met = table(touched.join(other, "key").where("home < home2 or (home = home2 and slot <= slot2)").drop("key").distinct(), "jac-met", tasks)
+    columns = ("doc", "n", "comp", "hist")
+    chunks = table(homes.join(sets.select("doc", "hist"), "doc").groupBy("home", "slot").agg(*(F.collect_list(c).alias(c) for c in columns)), "jac-chunks", tasks)
+    second = chunks.select(F.col("home").alias("home2"), F.col("slot").alias("slot2"), *(F.col(c).alias(f"{c}2") for c in columns))
+    rows = met.join(chunks, ["home", "slot"]).join(second, ["home2", "slot2"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                same = batch.column(0)[r].as_py()
+                row = [batch.column(c)[r] for c in range(1, 1 + 2 * len(columns))]
+                one, two = _members(row[: len(columns)]), _members(row[len(columns) :])
+                yield _pairs_batch(list(_bounded(one, two, _open(one, two, same, threshold), threshold)))
+
+    same = F.expr("home = home2 and slot = slot2").alias("same")
+    return rows.select(same, *columns, *(f"{c}2" for c in columns)).mapInArrow(run, "a long, b long"), dense
+
+
 def _compared(d: DataFrame, threshold: int) -> DataFrame:
     """The pairs of every two blocks of a key."""
     columns = _CARRIED
@@ -357,11 +432,10 @@ def _compared(d: DataFrame, threshold: int) -> DataFrame:
     order = ["key", "i", "j", *(f"{c}{k}" for k in ("", "2") for c in columns)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def side(values, key):
-            doc, n, comp, hist, keys = (x.values for x in values)
+        def lesser(keys, key):
             owner, flat = np.repeat(np.arange(len(keys)), keys.value_lengths().to_numpy()), keys.flatten().to_numpy()
             least = flat < key
-            return *(x.to_numpy() for x in (doc, n, comp)), np.frombuffer(b"".join(hist.to_pylist()), np.uint8).reshape(-1, HISTOGRAM), owner[least], flat[least]
+            return owner[least], flat[least]
 
         def holds(owner, flat, keys, rows):
             out = np.zeros((rows, len(keys)), np.float32)
@@ -371,31 +445,21 @@ def _compared(d: DataFrame, threshold: int) -> DataFrame:
             out[owner[there], at[there]] = 1
             return out
 
+        half = len(columns)
         for batch in batches:
-            out_a, out_b = [], []
+            out = []
             for r in range(batch.num_rows):
                 key, i, j = (batch.column(c)[r].as_py() for c in range(3))
                 row = [batch.column(c)[r] for c in range(3, len(order))]
-                half = len(columns)
-                d1, n1, c1, h1, o1, k1 = side(row[:half], key)
-                d2, n2, c2, h2, o2, k2 = side(row[half:], key)
-                a, b = n1[:, None], n2[None, :]
-                near = (c1[:, None] != c2[None, :]) & (100 * b >= threshold * a) & (100 * a >= threshold * b)
-                if i == j:
-                    near &= d1[:, None] < d2[None, :]
+                one, two = _members(row[: half - 1]), _members(row[half:-1])
+                near = _open(one, two, i == j, threshold)
                 # A pair that shares a lesser key as well is compared there.
-                if near.any() and len(both := np.intersect1d(k1, k2)):
-                    near &= holds(o1, k1, both, len(d1)) @ holds(o2, k2, both, len(d2)).T == 0
-                full1, full2 = (h1 == 255).all(1), (h2 == 255).all(1)
-                for x in np.flatnonzero(near.any(1)):
-                    at = np.flatnonzero(near[x])
-                    most = np.minimum(h1[x], h2[at]).sum(1, dtype=np.int64)
-                    ok = (100 * most >= threshold * (n1[x] + n2[at] - most)) | full1[x] | full2[at]
-                    y = d2[at[ok]]
-                    out_a.append(np.minimum(d1[x], y))
-                    out_b.append(np.maximum(d1[x], y))
-            cat = lambda parts: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([cat(out_a), cat(out_b)], ["a", "b"])
+                if near.any():
+                    (o1, k1), (o2, k2) = lesser(row[half - 1].values, key), lesser(row[-1].values, key)
+                    if len(both := np.intersect1d(k1, k2)):
+                        near &= holds(o1, k1, both, len(near)) @ holds(o2, k2, both, near.shape[1]).T == 0
+                out.extend(_bounded(one, two, near, threshold))
+            yield _pairs_batch(out)
 
     return met.select(*order).mapInArrow(run, "a long, b long")
 
@@ -408,8 +472,9 @@ def links(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[Data
     survey = table(_survey(docs, n), "jac-survey")
     rows = survey.where("n is not null").select("doc_id", "n", "c1", "c2")
     total = rows.count()
+    tasks = tasks_for(spark, total, TASK_DOCS)
     full = rows.where("n > 0 and doc_id is not null")
-    classes = table(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "jac-class")
+    classes = table(full.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "jac-class", tasks)
     again = classes.where("copies > 1")
     copies = full.join(again, ["c1", "c2"]).where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
 
@@ -423,22 +488,22 @@ def links(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[Data
     frequent = spark.sparkContext.broadcast(np.stack([tokens[by_value], rank[by_value]]) if len(tokens) else np.zeros((2, 0), np.uint64))
 
     keys = _keys(docs, n, threshold, frequent).join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    keys = table(keys, "jac-keys")
+    keys = table(keys, "jac-keys", tasks)
     each = keys.select(F.explode("keys").alias("key"), F.col("doc_id").alias("doc"), "n", "often")
-    shared = table(each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "jac-shared")
-    members = table(each.join(shared, "key"), "jac-members")
+    shared = table(each.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "jac-shared", tasks)
+    members = table(each.join(shared, "key"), "jac-members", tasks)
     forget(keys, shared)
     # A linked set shares as many keys as its smallest possible partner asks for, frequent tokens aside.
     asked = extent(F.ceil(F.col("n") * threshold / 100))
     for _ in range(PEELS):
         able = members.groupBy("doc", "n", "often").agg(F.count("*").alias("keys")).where(F.col("keys") + F.col("often") >= asked)
-        able = table(able.select("doc"), "jac-able")
-        left = table(members.join(able, "doc", "left_semi"), "jac-left")
-        still = table(left.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "jac-still")
+        able = table(able.select("doc"), "jac-able", tasks)
+        left = table(members.join(able, "doc", "left_semi"), "jac-left", tasks)
+        still = table(left.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "jac-still", tasks)
         forget(members, able)
-        members = table(left.join(still, "key", "left_semi"), "jac-members")
+        members = table(left.join(still, "key", "left_semi"), "jac-members", tasks)
         forget(left, still)
-    ids = table(members.select("doc").distinct(), "jac-ids")
+    ids = table(members.select("doc").distinct(), "jac-ids", tasks)
     comp = ids.select("doc", F.col("doc").alias("comp"))
     found: DataFrame | None = None
     tested: DataFrame | None = None
@@ -446,24 +511,24 @@ def links(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[Data
     for at in range(PIVOT_ROUNDS + 1):
         live = members.join(comp, "doc")
         open_keys = live.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.count("*").alias("comps"))
-        open_keys = table(open_keys.where("comps > 1").select("key", "m"), "jac-open")
+        open_keys = table(open_keys.where("comps > 1").select("key", "m"), "jac-open", tasks)
         if open_keys.isEmpty():
             break
-        live = table(live.select("key", "doc", "n", "often", "comp").join(open_keys, "key"), "jac-live")
+        live = table(live.select("key", "doc", "n", "often", "comp").join(open_keys, "key"), "jac-live", tasks)
         large = None
         if at == PIVOT_ROUNDS:
             # Shared tokens may also lie in large keys, which count like frequent ones here.
             large = live.where(F.col("m") > SMALL_KEY)
-            in_large = table(large.groupBy("doc").agg(F.count("*").alias("large")), "jac-large")
+            in_large = table(large.groupBy("doc").agg(F.count("*").alias("large")), "jac-large", tasks)
             few = live.where(F.col("m") <= SMALL_KEY).join(in_large, "doc", "left")
             few = few.select("key", "doc", "n", "comp", (F.col("often") + F.coalesce("large", F.lit(0))).alias("often"))
-            few = table(few, "jac-few")
+            few = table(few, "jac-few", tasks)
             other = few.select("key", F.col("doc").alias("p"), F.col("n").alias("pn"), F.col("often").alias("po"), F.col("comp").alias("pc"))
             pairs = few.join(other, "key").where("doc < p and comp <> pc").where(fit)
         else:
             order = [F.xxhash64("doc", F.lit(at), F.lit(i)) for i in range(PIVOTS)]
             pivots = live.groupBy("key").agg(*(F.min_by(c, o).alias(f"{c}{i}") for i, o in enumerate(order) for c in ("doc", "n", "often", "comp")))
-            pivots = table(pivots, "jac-pivots")
+            pivots = table(pivots, "jac-pivots", tasks)
             pick = F.explode(F.array(*(F.struct(F.col(f"doc{i}").alias("p"), F.col(f"n{i}").alias("pn"), F.col(f"often{i}").alias("po"), F.col(f"comp{i}").alias("pc")) for i in range(PIVOTS))))
             # Members meet the pivots of their key: at most PIVOTS rows a member.
             met = live.select("key", "doc", "n", "often", "comp").join(pivots, "key").select("key", "doc", "n", "often", "comp", pick.alias("x"))
@@ -474,19 +539,19 @@ def links(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[Data
         pairs = pairs.where("keys + more >= enough").select("a", "b")
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = table(pairs, "jac-pairs")
+        pairs = table(pairs, "jac-pairs", tasks)
         tested = pairs if tested is None else tested.unionByName(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
         wanted = wanted if large is None else wanted.unionByName(in_large.select(F.col("doc").alias("doc_id")))
-        wanted = table(wanted.distinct(), "jac-wanted")
-        hists = table(_hists(semi_join_large(docs, wanted, "doc_id"), n), "jac-hists")
+        wanted = table(wanted.distinct(), "jac-wanted", tasks)
+        hists = table(_hists(semi_join_large(docs, wanted, "doc_id"), n), "jac-hists", tasks)
         more = None if large is None else _block_pairs(large, hists, threshold, total)
         new = _verified(pairs, hists, docs, n, threshold, total, more)
         found = new if found is None else found.unionByName(new)
         forget(live, open_keys, wanted, hists)
         if at < PIVOT_ROUNDS:
-            cc = components(found, "jac-cc").select(F.col("node").alias("doc"), F.col("comp").alias("c"))
-            comp = table(ids.join(cc, "doc", "left").select("doc", F.coalesce("c", "doc").alias("comp")), "jac-comp")
+            cc = components(found, "jac-cc", tasks).select(F.col("node").alias("doc"), F.col("comp").alias("c"))
+            comp = table(ids.join(cc, "doc", "left").select("doc", F.coalesce("c", "doc").alias("comp")), "jac-comp", tasks)
     forget(members)
     return rows, copies if found is None else copies.unionByName(found)
 
@@ -494,7 +559,8 @@ def links(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[Data
 def similar(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs(doc_id, text)``."""
     rows, edges = links(columns_of(docs, "doc_id", "text"), n, threshold)
-    cc = components(edges, "jac-all").select(F.col("node").alias("doc_id"), F.col("comp").alias("component_id"))
+    tasks = tasks_for(docs.sparkSession, rows.count(), TASK_DOCS)
+    cc = components(edges, "jac-all", tasks).select(F.col("node").alias("doc_id"), F.col("comp").alias("component_id"))
     out = rows.join(cc, "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

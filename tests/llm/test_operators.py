@@ -217,6 +217,26 @@ def test_jaccard_large_keys(spark, monkeypatch):
     assert 1 < len(set(want.values())) < 160
 
 
+def test_jaccard_chunks(spark, monkeypatch):
+    """Documents that share many large keys: a pair comes out once, not again under each key, and none is missed."""
+    import numpy as np
+
+    rng = np.random.default_rng(12)
+    monkeypatch.setattr(jaccard, "CHUNK", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    # Keys 0 to 29 lie among documents 0 to 59, keys 100 to 139 far between 200 others.
+    holds = [(k, d) for d in range(60) for k in range(30) if rng.random() < 0.8] + [(100 + int(k), 100 + d) for d in range(200) for k in rng.choice(40, 4, replace=False)]
+    size = {k: sum(x == k for x, _ in holds) for k, _ in holds}
+    live = spark.createDataFrame([(k, size[k], d, 10, d) for k, d in holds], "key long, m long, doc long, n long, comp long")
+    sets = spark.createDataFrame([(d, 10, bytes([10]) + bytes(255)) for d in {d for _, d in holds}], "doc long, n long, hist binary")
+    near, dense = jaccard._chunk_pairs(live, sets, 85, 4)
+    once = [tuple(r) for r in near.collect()]
+    assert len(once) == len(set(once)) and {r.key for r in dense.collect()} >= set(range(30))
+    want = {(a, b) for k in size for a in {d for x, d in holds if x == k} for b in {d for x, d in holds if x == k} if a < b}
+    got = {tuple(r) for r in jaccard._block_pairs(live, sets, 85, 260).collect()}
+    assert want <= got and len(got) < 2 * len(want)
+
+
 def test_jaccard_makes_few_whole_sets(spark, monkeypatch):
     """Texts that share passages but are not alike are told apart by their histograms."""
     rng = random.Random(9)
