@@ -87,6 +87,29 @@ def test_unseen_rows(spark):
     assert rows[0].n > 40 and rows[0].kept <= 0.4, rows
 
 
+def test_all_labels_count(spark, monkeypatch):
+    """The threshold is that of all labelled rows, also where a bound of the former kind would leave most of them out."""
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 300, raising=False)
+    monkeypatch.setattr(quality, "TREES", 20)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = quality.judge(docs, labels).join(labels, "doc_id", "left").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2))).where("not base_failed").toPandas()
+    length = got["path_length"].to_numpy()
+    good, bad = (got["quality"] == 1) & (got["half"] == 1), got["quality"] == 0
+    t = quality.calibrated(length[good], length[bad])
+    assert good.sum() > 1000 and t > 0
+    assert ((length >= t) == got["kept"].to_numpy(bool)).all()
+
+
+def test_threshold_over_a_table(spark):
+    rng = np.random.default_rng(8)
+    for few in (0.02, 0.2):
+        good, bad = rng.normal(8, 1, 400).round(2), rng.normal(6, 2, 90).round(2)
+        scored = spark.createDataFrame([(1, float(x)) for x in good] + [(0, float(x)) for x in bad], "quality int, path_length double")
+        assert quality._threshold(scored, few) == quality.calibrated(good, bad, few)
+        assert quality._threshold(scored.where("quality = 1"), few) == -np.inf
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, "word " * 60, "x"), (None, None, "x"), (1, "", "x")], "doc_id long, text string, n_words string")
     none = spark.createDataFrame([], "doc_id long, quality int")
