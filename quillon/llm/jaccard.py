@@ -16,9 +16,11 @@ components are wanted: all members of a key are compared with a few pivots of
 that key, what has been linked is one component, and keys inside one component
 are done.  Then all pairs across components in the keys still open are compared, so
 no link between components is missed: keys with few members by a join, larger
-ones chunk against chunk or block against block inside tasks, which put out only what passes.  A pair is
+ones chunk against chunk or block against block inside tasks.  A pair is
 first held against an exact upper bound of the intersection (histograms of token
-hashes), then its sets are intersected.
+hashes), then its sets are intersected.  No pairs of large keys leave a task: of two
+chunks or blocks those documents do that have a partner within the bound, and then
+the links of a spanning forest of what their sets say.
 
 Frequent tokens: each task counts the tokens of its documents, a bounded number at a
 time, and reports those that reach a share of them; the most frequent, at most
@@ -33,6 +35,7 @@ nothing.  Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +70,10 @@ BLOCK_DOC_BYTES = 256
 #: Bytes of whole sets held against each other at once, likewise.
 SET_BYTES = 128 << 20
 SET_DOC_BYTES = 1 << 10
+#: Tokens of documents that are intersected with others at once, about.
+PART_TOKENS = 1 << 20
+#: Columns of the matrices that they are intersected by.
+SLAB = 4096
 #: Documents for each task that writes an intermediate table, at least.
 TASK_DOCS = 2_000
 
@@ -274,8 +281,8 @@ def _pass_pairs(pairs: DataFrame, test) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, hists: DataFrame, docs: DataFrame, n: int, threshold: int, total: int, more: DataFrame | None = None) -> DataFrame:
-    """The candidate pairs ``(a, b)`` that link; those in ``more`` have passed the bound.
+def _verified(pairs: DataFrame, hists: DataFrame, docs: DataFrame, n: int, threshold: int, total: int) -> DataFrame:
+    """The candidate pairs ``(a, b)`` that link.
 
     Whole sets take more room than their texts.  They are made only for pairs that
     the bound lets through, in as many passes as keep those of one in a bound.
@@ -301,10 +308,7 @@ def _verified(pairs: DataFrame, hists: DataFrame, docs: DataFrame, n: int, thres
             p = p.join(sets.select(F.col("doc").alias(side), F.col("n").alias(f"n{side}"), F.col(column).alias(f"x{side}")), side)
         return p.select("a", "b", "na", "nb", "xa", "xb")
 
-    likely = _pass_pairs(beside(pairs, hists, "hist"), bound)
-    if more is not None:
-        likely = likely.unionByName(more)
-    likely = table(likely.distinct(), "jac-likely", tasks)
+    likely = table(_pass_pairs(beside(pairs, hists, "hist"), bound).distinct(), "jac-likely", tasks)
     ends = likely.select(F.explode(F.array("a", "b")).alias("doc"))
     size = 8 * (ends.join(hists.select("doc", "n"), "doc").agg(F.sum("n")).first()[0] or 0)
     passes = -(-size // max(SET_BYTES, SET_DOC_BYTES * total)) or 1
@@ -320,8 +324,95 @@ def _verified(pairs: DataFrame, hists: DataFrame, docs: DataFrame, n: int, thres
     return found
 
 
-def _block_pairs(live: DataFrame, sets: DataFrame, threshold: int, docs: int) -> DataFrame:
-    """``(a, b)`` across components that the bound lets through, of keys whose members come as ``(key, m, doc, n, comp)``.
+def _linked(near: list[DataFrame], docs: DataFrame, n: int, threshold: int, total: int) -> DataFrame | None:
+    """Edges ``(a, b)`` of spanning forests of the links in each part of ``near``, as PARTS has them; passes as in ``_verified``."""
+    tasks = tasks_for(docs.sparkSession, total, TASK_DOCS)
+    found = None
+    for rows in near:
+        size = 8 * (rows.agg(F.sum("n")).first()[0] or 0)
+        passes = -(-size // max(SET_BYTES, SET_DOC_BYTES * total))
+        for at in range(passes):
+            mine = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("part", F.lit("pass")), F.lit(passes)) == at)
+            wanted = table(mine.select(F.col("doc").alias("doc_id")).distinct(), "jac-exact", tasks)
+            sets = table(_sets(semi_join_large(docs, wanted, "doc_id"), n), "jac-sets", tasks)
+            held = mine.select("part", "side", "doc", "comp").join(sets.select("doc", "tokens"), "doc").select("part", "side", "doc", "comp", "tokens")
+            new = table(_forests(held.repartition("part").sortWithinPartitions("part"), threshold), "jac-links", tasks)
+            forget(wanted, sets)
+            found = new if found is None else found.unionByName(new)
+    return found
+
+
+def _shared(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of a set in ``one`` with a set in ``two``."""
+    flat = [np.concatenate(x) for x in (one, two)]
+    both = np.intersect1d(*map(np.unique, flat), assume_unique=True)
+    out = np.zeros((len(one), len(two)), np.int64)
+    sides = []
+    for sets, tokens in zip((one, two), flat, strict=True):
+        at = np.searchsorted(both, tokens)
+        there = at < len(both)
+        there[there] = both[at[there]] == tokens[there]
+        order = np.argsort(at[there], kind="stable")
+        sides.append((np.repeat(np.arange(len(sets)), [len(s) for s in sets])[there][order], at[there][order]))
+    for low in range(0, len(both), SLAB):
+        width = min(SLAB, len(both) - low)
+        slabs = []
+        for sets, (owner, at) in zip((one, two), sides, strict=True):
+            a, b = np.searchsorted(at, [low, low + width])
+            x = np.zeros((len(sets), width), np.float32)
+            x[owner[a:b], at[a:b] - low] = 1
+            slabs.append(x)
+        out += (slabs[0] @ slabs[1].T).astype(np.int64)
+    return out
+
+
+def _forests(rows: DataFrame, threshold: int) -> DataFrame:
+    """Of rows ``(part, side, doc, comp, tokens)``, sorted by part: edges that join what links across a part's sides."""
+
+    def forest(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        side, doc, comp = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in (1, 2, 3))
+        sets = [np.frombuffer(x, np.uint64) for b in held for x in b.column(4).to_pylist()]
+        (d1, c1, s1), (d2, c2, s2) = ((doc[at], comp[at], [sets[i] for i in at]) for at in (np.flatnonzero(side == k) for k in (0, 1)))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if len(d1) and len(d2):
+            shared = _shared(s1, s2)
+            union = np.array([len(s) for s in s1])[:, None] + np.array([len(s) for s in s2])[None, :] - shared
+            link = 100 * shared >= threshold * union
+            for x in np.flatnonzero(link.any(1)):
+                y = np.flatnonzero(link[x] & (c2 != c1[x]))
+                if len(y):
+                    met, first = np.unique(c2[y], return_index=True)
+                    a.append(np.full(len(met), d1[x]))
+                    b.append(d2[y[first]])
+                    label = c1[x]
+                    c1[np.isin(c1, met)] = label
+                    c2[np.isin(c2, met)] = label
+        return np.concatenate(a), np.concatenate(b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            part = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), len(part)]
+            out = []
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if low == high:
+                    continue
+                if held and held[0].column(0)[0].as_py() != part[low]:
+                    out.append(forest(held))
+                    held = []
+                held.append(batch.slice(low, high - low))
+            yield _batch(out, PAIR)
+        if held:
+            yield _batch([forest(held)], PAIR)
+        held = []
+        release()
+
+    return rows.mapInArrow(run, PAIR)
+
+
+def _block_tables(live: DataFrame, sets: DataFrame, threshold: int, docs: int, form: tuple) -> list[DataFrame]:
+    """All pairs across components that the bound lets through, of keys whose members come as ``(key, m, doc, n, comp)``, in the form asked for.
 
     A member carries its histogram and its other keys under every key, which grows
     with the square of its keys, unless the key's members lie in few chunks: the keys are dealt to as many passes as keep the
@@ -329,25 +420,30 @@ def _block_pairs(live: DataFrame, sets: DataFrame, threshold: int, docs: int) ->
     docs: the number of all documents, which the bound follows.
     """
     tasks = tasks_for(live.sparkSession, docs, TASK_DOCS)
-    chunked, dense = _chunk_pairs(live, sets, threshold, tasks)
-    chunked = table(chunked.distinct(), "jac-near", tasks)
+    chunked, dense = _chunk_pairs(live, sets, threshold, tasks, form)
+    chunked = table(chunked, "jac-near", tasks)
     live = table(live.join(dense, "key", "left_anti"), "jac-spread", tasks)
     lists = live.groupBy("doc").agg(F.sort_array(F.collect_set("key")).alias("keys"))
     lists = table(lists.join(sets.select("doc", "hist"), "doc"), "jac-lists", tasks)
     size = F.size("keys").cast("long")
     total = lists.agg(F.sum(size * (HISTOGRAM + 24 + 8 * size))).first()[0] or 0
     passes = -(-total // max(BLOCK_BYTES, BLOCK_DOC_BYTES * docs))
-    found = chunked
+    found = [chunked]
     for at in range(passes):
         mine = live if passes == 1 else live.where(F.pmod(F.xxhash64("key", F.lit("pass")), F.lit(passes)) == at)
         blocks = table(_blocks(mine, lists), "jac-blocks")
-        new = table(_compared(blocks, threshold), "jac-near")
+        new = table(_compared(blocks, threshold, form), "jac-near")
         forget(blocks)
-        found = found.unionByName(new)
+        found.append(new)
     forget(lists, live)
     return found
 
 
+def _block_pairs(live: DataFrame, sets: DataFrame, threshold: int, docs: int) -> DataFrame:
+    """``(a, b)`` of ``_block_tables``."""
+    return reduce(DataFrame.unionByName, _block_tables(live, sets, threshold, docs, PAIRS))
+
+
 #: What a member carries in its blocks.
 _CARRIED = ("doc", "n", "comp", "hist", "keys")
 
@@ -374,25 +470,54 @@ def _open(one: tuple, two: tuple, same: bool, threshold: int) -> np.ndarray:
     return near & (d1[:, None] < d2[None, :]) if same else near
 
 
-def _bounded(one: tuple, two: tuple, near: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The marked pairs that the bound lets through, lesser document first."""
-    (d1, n1, _, h1), (d2, n2, _, h2) = one, two
+def _bounded(one: tuple, two: tuple, near: np.ndarray, threshold: int) -> np.ndarray:
+    """Those of the marked pairs that the bound lets through."""
+    (_, n1, _, h1), (_, n2, _, h2) = one, two
     full1, full2 = (h1 == 255).all(1), (h2 == 255).all(1)
+    out = np.zeros_like(near)
     for x in np.flatnonzero(near.any(1)):
         at = np.flatnonzero(near[x])
         most = np.minimum(h1[x], h2[at]).sum(1, dtype=np.int64)
-        ok = (100 * most >= threshold * (n1[x] + n2[at] - most)) | full1[x] | full2[at]
-        y = d2[at[ok]]
-        yield np.minimum(d1[x], y), np.maximum(d1[x], y)
+        out[x, at] = (100 * most >= threshold * (n1[x] + n2[at] - most)) | full1[x] | full2[at]
+    return out
+
+
+def _cut(at: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The places in pieces of about PART_TOKENS tokens."""
+    piece = np.cumsum(n[at]) // PART_TOKENS
+    return np.split(at, np.flatnonzero(piece[1:] != piece[:-1]) + 1) if len(at) else []
+
+
+def _parts(one: tuple, two: tuple, ok: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The documents of marked pairs, as rows of a part.  A part is named by its documents: if two have one name, more is compared, not less."""
+    for p in _cut(np.flatnonzero(ok.any(1)), one[1]):
+        for q in _cut(np.flatnonzero(ok[p].any(0)), two[1]):
+            r = p[ok[np.ix_(p, q)].any(1)]
+            doc, n, comp = (np.concatenate([one[c][r], two[c][q]]).astype(np.int64) for c in range(3))
+            side = np.repeat(np.arange(2), [len(r), len(q)])
+            name = np.add.reduce(mix(mix(doc.view(np.uint64)) + side.astype(np.uint64)), dtype=np.uint64, keepdims=True).view(np.int64)
+            yield np.repeat(name, len(doc)), side, doc, n, comp
+
+
+def _pairs(one: tuple, two: tuple, ok: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The marked pairs, lesser document first."""
+    x, y = np.nonzero(ok)
+    yield np.minimum(one[0][x], two[0][y]), np.maximum(one[0][x], two[0][y])
+
+
+def _batch(rows: list[tuple[np.ndarray, ...]], names: str) -> pa.RecordBatch:
+    names = [x.split()[0] for x in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64)) for i in range(len(names))], names)
 
 
-def _pairs_batch(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    cat = lambda i: pa.array(np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64))
-    return pa.RecordBatch.from_arrays([cat(0), cat(1)], ["a", "b"])
+#: What is told of two chunks or blocks: their pairs, or the documents of these, each on its side of a part whose pairs across the sides are to be intersected.
+PAIR = "a long, b long"
+PAIRS = (PAIR, _pairs)
+PARTS = ("part long, side long, doc long, n long, comp long", _parts)
 
 
-def _chunk_pairs(live: DataFrame, sets: DataFrame, threshold: int, tasks: int) -> tuple[DataFrame, DataFrame]:
-    """``(a, b)`` that the bound lets through, of keys whose members lie in few chunks, and ``(key)`` of these keys.
+def _chunk_pairs(live: DataFrame, sets: DataFrame, threshold: int, tasks: int, form: tuple = PAIRS) -> tuple[DataFrame, DataFrame]:
+    """The pairs that the bound lets through, of keys whose members lie in few chunks, and ``(key)`` of these keys.
 
     Near copies share many keys.  Key by key their pairs would come up under each;
     here every document is in one chunk, by its least key, and two chunks that have such a key in
@@ -407,6 +532,7 @@ def _chunk_pairs(live: DataFrame, sets: DataFrame, threshold: int, tasks: int) -
     touched = touched.join(dense, "key").select("key", "home", "slot")
     other = touched.select("key", F.col("home").alias("home2"), F.col("slot").alias("slot2"))
     met = table(touched.join(other, "key").where("home < home2 or (home = home2 and slot <= slot2)").drop("key").distinct(), "jac-met", tasks)
+    schema, told = form
     columns = ("doc", "n", "comp", "hist")
     chunks = table(homes.join(sets.select("doc", "hist"), "doc").groupBy("home", "slot").agg(*(F.collect_list(c).alias(c) for c in columns)), "jac-chunks", tasks)
     second = chunks.select(F.col("home").alias("home2"), F.col("slot").alias("slot2"), *(F.col(c).alias(f"{c}2") for c in columns))
@@ -418,14 +544,15 @@ def _chunk_pairs(live: DataFrame, sets: DataFrame, threshold: int, tasks: int) -
                 same = batch.column(0)[r].as_py()
                 row = [batch.column(c)[r] for c in range(1, 1 + 2 * len(columns))]
                 one, two = _members(row[: len(columns)]), _members(row[len(columns) :])
-                yield _pairs_batch(list(_bounded(one, two, _open(one, two, same, threshold), threshold)))
+                yield _batch(list(told(one, two, _bounded(one, two, _open(one, two, same, threshold), threshold))), schema)
 
     same = F.expr("home = home2 and slot = slot2").alias("same")
-    return rows.select(same, *columns, *(f"{c}2" for c in columns)).mapInArrow(run, "a long, b long"), dense
+    return rows.select(same, *columns, *(f"{c}2" for c in columns)).mapInArrow(run, schema), dense
 
 
-def _compared(d: DataFrame, threshold: int) -> DataFrame:
-    """The pairs of every two blocks of a key."""
+def _compared(d: DataFrame, threshold: int, form: tuple) -> DataFrame:
+    """The pairs of every two blocks of a key that the bound lets through."""
+    schema, told = form
     columns = _CARRIED
     other = d.select("key", F.col("i").alias("j"), *(F.col(c).alias(f"{c}2") for c in columns))
     met = d.join(other, "key").where("i <= j")
@@ -458,10 +585,10 @@ def _compared(d: DataFrame, threshold: int) -> DataFrame:
                     (o1, k1), (o2, k2) = lesser(row[half - 1].values, key), lesser(row[-1].values, key)
                     if len(both := np.intersect1d(k1, k2)):
                         near &= holds(o1, k1, both, len(near)) @ holds(o2, k2, both, near.shape[1]).T == 0
-                out.extend(_bounded(one, two, near, threshold))
-            yield _pairs_batch(out)
+                out.extend(told(one, two, _bounded(one, two, near, threshold)))
+            yield _batch(out, schema)
 
-    return met.select(*order).mapInArrow(run, "a long, b long")
+    return met.select(*order).mapInArrow(run, schema)
 
 
 def links(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -545,9 +672,10 @@ def links(docs: DataFrame, n: int = N, threshold: int = THRESHOLD) -> tuple[Data
         wanted = wanted if large is None else wanted.unionByName(in_large.select(F.col("doc").alias("doc_id")))
         wanted = table(wanted.distinct(), "jac-wanted", tasks)
         hists = table(_hists(semi_join_large(docs, wanted, "doc_id"), n), "jac-hists", tasks)
-        more = None if large is None else _block_pairs(large, hists, threshold, total)
-        new = _verified(pairs, hists, docs, n, threshold, total, more)
+        new = _verified(pairs, hists, docs, n, threshold, total)
         found = new if found is None else found.unionByName(new)
+        if large is not None and (new := _linked(_block_tables(large, hists, threshold, total, PARTS), docs, n, threshold, total)) is not None:
+            found = found.unionByName(new)
         forget(live, open_keys, wanted, hists)
         if at < PIVOT_ROUNDS:
             cc = components(found, "jac-cc", tasks).select(F.col("node").alias("doc"), F.col("comp").alias("c"))

@@ -237,6 +237,36 @@ def test_jaccard_chunks(spark, monkeypatch):
     assert want <= got and len(got) < 2 * len(want)
 
 
+def test_jaccard_tells_no_pairs_of_large_keys(spark, monkeypatch):
+    """A group of near copies that no pivot joins: what is told of it follows its documents, not its pairs."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for k in rng.sample(range(300), 2 + i % 3):
+            w[k] = f"q{i}x{k}"
+        rows.append((i, " ".join(w), "a", "s"))
+    for name, value in (("SMALL_KEY", 8), ("BLOCK", 64), ("PIVOT_ROUNDS", 0), ("PART_TOKENS", 30_000)):
+        monkeypatch.setattr(jaccard, name, value)
+    sets = {i: {tuple(t.split()[k : k + 4]) for k in range(297)} for i, t, *_ in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = groups(sets, linked)
+    _, edges = jaccard.links(frame(spark, rows).select("doc_id", "text"))
+    edges = [tuple(r) for r in edges.collect()]
+    assert groups(sets, edges) == want and all(tuple(sorted(e)) in set(linked) for e in edges)
+    assert len(linked) > 5 * len(edges)
+
+
+def test_jaccard_shared(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(13)
+    monkeypatch.setattr(jaccard, "SLAB", 7)
+    one, two = ([np.unique(rng.integers(0, 90, rng.integers(0, 60)).astype(np.uint64) << np.uint64(57)) for _ in range(m)] for m in (9, 5))
+    assert jaccard._shared(one, two).tolist() == [[len(np.intersect1d(a, b)) for b in two] for a in one]
+
+
 def test_jaccard_makes_few_whole_sets(spark, monkeypatch):
     """Texts that share passages but are not alike are told apart by their histograms."""
     rng = random.Random(9)
