@@ -31,8 +31,6 @@ with the same doc_id and text are one document: they get the same result.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,13 +40,13 @@ GRAM = 25
 WINDOW = 25
 REACH = GRAM + WINDOW
 EDGE = 3
-SPACE = r"\x20\x09-\x0D"
+#: Written one by one, for which Java looks in a table of bits.
+SPACE = r"\x20\t\n\x0B\f\r"
 
 
 def words(text: Column) -> Column:
-    """The words in order; the text is trimmed first, so that no split-off piece is empty."""
-    bare = F.trim(text, F.lit(" \t\n\x0b\f\r"))
-    return F.when(bare != "", F.split(bare, f"[{SPACE}]+")).when(bare == "", F.array().cast("array<string>"))
+    """The words in order; space at the ends splits off empty pieces, which are none."""
+    return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
 
 
 def word_hashes(text: Column) -> Column:
@@ -56,12 +54,19 @@ def word_hashes(text: Column) -> Column:
 
 
 def _least(values: Column, width: int) -> Column:
-    """At each place the least of the ``width`` values from there, made in two steps of about its square root."""
-    step = math.isqrt(width - 1) + 1
-    near = range(step)
-    far = [min(a, width - step) for a in range(0, width, step)]
-    over = lambda x, i, places: F.least(*(F.get(x, i + F.lit(k)) for k in places)) if len(places) > 1 else F.get(x, i)
-    return let(F.transform(values, lambda _, i: over(values, i, near)), lambda x: F.transform(x, lambda _, i: over(x, i, far)))
+    """At each place the least of the ``width`` values up to it, and ``width - 1`` places more: the list is laid over itself, shifted.
+
+    Nulls in front shift a list at a fraction of what a slice of it takes in an interpreted expression.
+    """
+
+    def further(x: Column, held: int) -> Column:  # each element of x is the least of so many
+        if held == width:
+            return x
+        step = min(held, width - held)
+        late = F.concat(F.array(*[F.lit(None).cast("bigint")] * step), x)
+        return let(F.zip_with(late, x, lambda a, b: F.least(a, b)), lambda y: further(y, held + step))
+
+    return let(values, lambda x: further(x, 1))
 
 
 #: Low bits of a word's hash that give way to its place, so that the least of a window tells where it is: as many as words fit in a string.
@@ -72,13 +77,14 @@ def fingerprints(docs: DataFrame, gram: int, window: int) -> DataFrame:
     """``(doc_id, th, pos, g1, g2)``: selected grams; th tells texts of one doc_id apart, pos counts words from 0."""
     mask = (1 << PLACE_BITS) - 1
 
-    def of(w: Column) -> Column:  # only words that begin a whole gram are marked
-        marked = F.transform(F.slice(w, 1, F.size(w) - (gram - 1)), lambda x, i: F.xxhash64(F.lit(3), x).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("bigint")))
-        return F.when(F.size(w) >= gram, let(marked, lambda m: chosen(w, m)))
+    def of(w: Column) -> Column:
+        marked = F.transform(w, lambda x, i: F.xxhash64(F.lit(3), x).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("bigint")))
+        return F.when(F.size(w) >= gram, chosen(w, _least(marked, window)))
 
-    def chosen(w: Column, m: Column) -> Column:
-        least = F.slice(_least(m, window), 1, F.greatest(F.size(m) - (window - 1), F.lit(1)))
-        return F.transform(F.array_distinct(least), lambda v: pick(w, v.bitwiseAND(F.lit(mask)).cast("int")))
+    def chosen(w: Column, least: Column) -> Column:  # of windows of words that begin a whole gram, or of all of these if they are fewer
+        grams = F.size(w) - (gram - 1)
+        of_windows = F.slice(least, F.least(grams, F.lit(window)), F.greatest(grams - (window - 1), F.lit(1)))
+        return F.transform(F.array_distinct(of_windows), lambda v: pick(w, v.bitwiseAND(F.lit(mask)).cast("int")))
 
     def pick(w: Column, pos: Column) -> Column:
         return let(F.slice(w, pos + 1, gram), lambda x: F.struct(pos.alias("pos"), F.xxhash64(F.lit(3), x).alias("g1"), F.xxhash64(F.lit(4), x).alias("g2")))
@@ -89,14 +95,18 @@ def fingerprints(docs: DataFrame, gram: int, window: int) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """``(doc_id, th, runs)``: word ranges ``(a, b)``, ends included, with the first occurrence's words before and after."""
+    """``(doc_id, th, runs)``: word ranges ``(a, b)``, ends included, with the first occurrence's words before and after.
+
+    ``a0`` and ``b0`` are where the first occurrence begins and what follows its end; the words are null for one in the same text.
+    """
     prints = table(fingerprints(docs, gram, window), "lines-fp")
     place = F.xxhash64("doc_id", "th", "pos")
-    again = prints.groupBy("g1", "g2").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p < q").select("g1", "g2")
-    hits = table(prints.join(again, ["g1", "g2"], "left_semi"), "lines-hits")
+    # A table of its own, so that the join's sides are plain exchanges, which can be split where one fingerprint has very many places.
+    again = table(prints.groupBy("g1", "g2").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p < q").select("g1", "g2"), "lines-again")
+    hits = table(prints.join(again.hint("shuffle_hash"), ["g1", "g2"], "left_semi"), "lines-hits")
     first = hits.groupBy("g1", "g2").agg(F.min(F.struct("doc_id", "th", "pos")).alias("at"))
     first = table(first.select("g1", "g2", F.col("at.doc_id").alias("d0"), F.col("at.th").alias("t0"), F.col("at.pos").alias("p0")), "lines-first")
-    met = hits.join(first, ["g1", "g2"]).where(~(F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("th") == F.col("t0")) & (F.col("pos") == F.col("p0"))))
+    met = hits.join(first.hint("shuffle_hash"), ["g1", "g2"]).where(~(F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("th") == F.col("t0")) & (F.col("pos") == F.col("p0"))))
     met = met.select("doc_id", "th", "d0", "t0", (F.col("pos") - F.col("p0")).alias("off"), "pos").distinct()
     # Fingerprints of one diagonal whose grams touch are one run.
     order = Window.partitionBy("doc_id", "th", "d0", "t0", "off").orderBy("pos")
@@ -104,11 +114,15 @@ def repeated_runs(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Da
     met = met.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     runs = met.groupBy("doc_id", "th", "d0", "t0", "off", "run").agg(F.min("pos").alias("a"), (F.max("pos") + (gram - 1)).alias("b"))
     runs = table(runs.select("doc_id", "th", "d0", "t0", "a", "b", (F.col("a") - F.col("off")).alias("a0"), (F.col("b") - F.col("off") + 1).alias("b0"), (F.col("doc_id").eqNullSafe(F.col("d0")) & (F.col("th") == F.col("t0"))).alias("own")), "lines-runs")
-    around = table(_contexts(docs, runs, gram + window), "lines-around")
+    # A run within one text finds the words around its first place where it is extended.
+    far, own = runs.where("not own"), runs.where("own")
+    around = table(_contexts(docs, far, gram + window), "lines-around")
     for side, at in (("before", "a0"), ("after", "b0")):
         c = around.where(F.col("side") == side).select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("at").alias("_at"), F.col("words").alias(side))
-        runs = runs.join(c, F.col("d0").eqNullSafe(F.col("_d")) & (F.col("t0") == F.col("_t")) & (F.col(at) == F.col("_at"))).drop("_d", "_t", "_at")
-    return runs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b", "own", "before", "after")).alias("runs"))
+        far = far.join(c, F.col("d0").eqNullSafe(F.col("_d")) & (F.col("t0") == F.col("_t")) & (F.col(at) == F.col("_at"))).drop("_d", "_t", "_at")
+    run = F.struct("a", "b", "own", "a0", "b0", "before", "after").alias("run")
+    runs = far.select("doc_id", "th", run).union(own.select("*", *(F.lit(None).cast("array<bigint>").alias(c) for c in ("before", "after"))).select("doc_id", "th", run))
+    return runs.groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs"))
 
 
 def _contexts(docs: DataFrame, runs: DataFrame, reach: int) -> DataFrame:
@@ -131,18 +145,18 @@ def _before(h: Column, at: Column, reach: int) -> Column:
 
 
 def _common(a: Column, b: Column) -> Column:
-    """How many leading elements of two lists are equal."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    bad = F.array_position(same, F.lit(False))
-    return F.when(bad == 0, F.least(F.size(a), F.size(b))).otherwise(bad - 1).cast("int")
+    """How many leading elements of two lists are equal; most pairs differ early or nowhere, which is told without a look at each element."""
+    first = lambda x, y: (F.array_position(F.zip_with(x, y, lambda v, w: v.eqNullSafe(w)), F.lit(False)) - 1).cast("int")
+    head = lambda x: F.slice(x, 1, 8)
+    return let(a, lambda x: let(b, lambda y: F.when(x == y, F.size(x)).when(head(x) != head(y), first(head(x), head(y))).otherwise(first(x, y))))
 
 
 def _ranges(h: Column, runs: Column, reach: int) -> Column:
     """The runs extended, in order, overlapping or adjacent ones made one; short ones of the text's own words left out."""
 
     def extended(r: Column) -> Column:
-        left = _common(_before(h, r["a"], reach), r["before"])
-        right = _common(F.slice(h, r["b"] + 2, reach), r["after"])
+        left = _common(_before(h, r["a"], reach), F.when(r["own"], _before(h, r["a0"], reach)).otherwise(r["before"]))
+        right = _common(F.slice(h, r["b"] + 2, reach), F.when(r["own"], F.slice(h, r["b0"] + 1, reach)).otherwise(r["after"]))
         return F.struct((r["a"] - left).alias("a"), (r["b"] + right).alias("b"), r["own"].alias("own"))
 
     def add(done: Column, r: Column) -> Column:
@@ -196,11 +210,11 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
 
     def cut(whole: Column) -> Column:  # the text between two line ends, so that all lines are alike
         def at(units: Column) -> Column:
-            rest = F.substring(whole, F.length(F.array_join(units, "")) + 1, F.length(whole))
             ranges = let(word_hashes(whole), lambda h: _ranges(h, F.col("_r"), gram + window))
-            return let(F.concat(units, F.array(rest)), lambda u: let(ranges, lambda r: _cut(u, r)))
+            return let(ranges, lambda r: _cut(units, r))
 
-        return let(F.regexp_extract_all(whole, F.lit(f"[{SPACE}]*[^{SPACE}]+"), F.lit(0)), at)
+        # The last one is the space at the end.
+        return let(F.regexp_extract_all(whole, F.lit(f"[{SPACE}]*+[^{SPACE}]++|[{SPACE}]++"), F.lit(0)), at)
 
     whole = F.concat(F.lit("\n"), F.col("text"), F.lit("\n"))
     found = F.when(F.col("_r").isNotNull(), let(let(whole, cut), lambda new: F.struct(

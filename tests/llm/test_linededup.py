@@ -86,3 +86,36 @@ def test_ids(spark):
     got = sorted((r.doc_id or 0, r.text, r.kept) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert [g for g in got if g[0] == 3] == [(3, "three", True)] * 2 and got[-1] == (4, "", False)
     assert sorted(len(t.split()) for i, t, _ in got if i == 0) == [2, 82]  # one of the two keeps the passage
+
+
+def test_runs_within_a_text_ask_for_no_words(spark, monkeypatch):
+    """A text that repeats only itself has the words around its runs; they are not fetched and dealt out again for each run."""
+    asked = []
+    contexts = linededup._contexts
+    monkeypatch.setattr(linededup, "_contexts", lambda docs, runs, reach: asked.append(runs.count()) or contexts(docs, runs, reach))
+    rng = random.Random(7)
+    verse, other = ([f"v{rng.randrange(10**6)}" for _ in range(n)] for n in (70, 60))
+    texts = [verse + ["so", "on"] + verse + ["and"] + verse[5:], other, ["x"] * 3 + other[:55] + ["y"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    cut = lambda some: {r.doc_id: r.text.split() for r in linededup.dedup_lines(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+    assert cut(rows[:1]) == {0: verse + ["so", "on", "and"]} and asked == [0]
+    assert cut(rows) == {0: verse + ["so", "on", "and"], 1: other, 2: ["x", "x", "x", "y"]} and 0 < asked[1] < 5
+
+
+def test_fingerprints_against_brute_force(spark):
+    """The places chosen are those of the least marks of all windows, also for texts around the length of a gram and a window."""
+    rng = random.Random(8)
+    texts = [[f"w{rng.randrange(30)}" for _ in range(n)] for n in (0, 1, GRAM - 1, GRAM, GRAM + 1, SURE - 1, SURE, SURE + 1, 400)]
+    space = lambda: "".join(rng.choices(" \t\n\v\f\r", k=rng.randint(1, 3)))
+    df = spark.createDataFrame([(i, space() + "".join(w + space() for w in t)) for i, t in enumerate(texts)] + [(-1, None), (-2, ""), (-3, "\v")], "doc_id long, text string")
+    got = {}
+    for r in linededup.fingerprints(df, GRAM, WINDOW).collect():
+        got.setdefault(r.doc_id, []).append(r.pos)
+    seen = [r[0] for r in spark.createDataFrame([(w,) for w in sorted({w for t in texts for w in t})], "w string").selectExpr("(w, xxhash64(3, w))").collect()]
+    mark = {w: h >> linededup.PLACE_BITS for w, h in seen}
+    want = {}
+    for i, t in enumerate(texts):
+        grams = [(mark[w], k) for k, w in enumerate(t[: max(len(t) - GRAM + 1, 0)])]
+        if grams:
+            want[i] = sorted({min(grams[k : k + WINDOW])[1] for k in range(max(len(grams) - WINDOW + 1, 1))})
+    assert {k: sorted(v) for k, v in got.items()} == want
