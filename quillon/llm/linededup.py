@@ -40,6 +40,8 @@ GRAM = 25
 WINDOW = 25
 REACH = GRAM + WINDOW
 EDGE = 3
+#: Words beside a run that are looked at before all within reach are.
+NEAR = 12
 #: Written one by one, for which Java looks in a table of bits.
 SPACE = r"\x20\t\n\x0B\f\r"
 
@@ -144,19 +146,22 @@ def _before(h: Column, at: Column, reach: int) -> Column:
     return F.reverse(F.slice(h, low + 1, at - low))
 
 
-def _common(a: Column, b: Column) -> Column:
-    """How many leading elements of two lists are equal; most pairs differ early or nowhere, which is told without a look at each element."""
+def _common(a, b, reach: int) -> Column:
+    """How many leading elements of two lists are equal; ``a(n)`` and ``b(n)`` are their first n.  Few are taken where these differ already."""
     first = lambda x, y: (F.array_position(F.zip_with(x, y, lambda v, w: v.eqNullSafe(w)), F.lit(False)) - 1).cast("int")
-    head = lambda x: F.slice(x, 1, 8)
-    return let(a, lambda x: let(b, lambda y: F.when(x == y, F.size(x)).when(head(x) != head(y), first(head(x), head(y))).otherwise(first(x, y))))
+    both = lambda n, body: let(a(n), lambda x: let(b(n), lambda y: body(x, y)))
+    whole = both(reach, lambda x, y: F.when(x == y, F.size(x)).otherwise(first(x, y)))
+    return both(min(NEAR, reach), lambda x, y: F.when(x != y, first(x, y)).otherwise(whole))
 
 
 def _ranges(h: Column, runs: Column, reach: int) -> Column:
     """The runs extended, in order, overlapping or adjacent ones made one; short ones of the text's own words left out."""
 
     def extended(r: Column) -> Column:
-        left = _common(_before(h, r["a"], reach), F.when(r["own"], _before(h, r["a0"], reach)).otherwise(r["before"]))
-        right = _common(F.slice(h, r["b"] + 2, reach), F.when(r["own"], F.slice(h, r["b0"] + 1, reach)).otherwise(r["after"]))
+        before = lambda n: F.when(r["own"], _before(h, r["a0"], n)).otherwise(F.slice(r["before"], 1, n))
+        after = lambda n: F.when(r["own"], F.slice(h, r["b0"] + 1, n)).otherwise(F.slice(r["after"], 1, n))
+        left = _common(lambda n: _before(h, r["a"], n), before, reach)
+        right = _common(lambda n: F.slice(h, r["b"] + 2, n), after, reach)
         return F.struct((r["a"] - left).alias("a"), (r["b"] + right).alias("b"), r["own"].alias("own"))
 
     def add(done: Column, r: Column) -> Column:
